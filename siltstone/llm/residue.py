@@ -1,0 +1,244 @@
+"""Problem 9: template residue, filler, error messages and script notices instead of content.
+
+Method: labelled exemplars of residue stand in an inverted index from term to
+exemplar.  A passage window (a line for messages, a paragraph for filler)
+retrieves the exemplars that share terms with it; its containment is the share
+of its TF-IDF mass that the best exemplar covers.  A placeholder is a passage
+of one term: its shape.  Document frequencies come from all documents.
+"""
+
+from __future__ import annotations
+
+import math
+import re
+from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from siltstone.llm.common import BLANKS, map_rows
+
+# Labelled exemplars of residue.
+EXEMPLARS = {
+    "error": [
+        "error status http code request failed",
+        "something went wrong, an unexpected error occurred",
+        "we are sorry, oops, an error happened",
+        "page not found: we looked everywhere but the page you asked for is missing",
+        "the page file folder record item resource document you requested asked for does not exist, is not available, was removed, cannot be shown, could not be found here",
+        "you do not have permission, clearance, access or the rights to view, open or edit this page file folder record item document",
+        "access denied forbidden unauthorized: you lack permission to open this file folder page item, please log in or sign in",
+        "the server archive host site service could not complete your request, try again in a few minutes",
+        "our this the servers server host archive site service is are overloaded, down for maintenance, unavailable or offline at the moment",
+        "internal server error, bad gateway, service temporarily unavailable due to maintenance, thank you for your patience",
+        "gateway timeout: the upstream service server gave no answer within seconds, the request timed out",
+        "the connection to was refused, reset or closed after seconds",
+        "too many requests, slow down and retry after seconds, id",
+        "your session has expired, sign in log in again to continue",
+        "could not extract text from this page file attachment: document is password protected, encrypted or damaged",
+        "please try again later, check the address and retry, contact the administrator support if this keeps happening",
+        "incident number, request id, reference, error code, vorgang, referencia, incident",
+        "go back to the start page, that has moved or no longer exists",
+        "unhandled failure exception in, traceback most recent call last, at line, value error, key error, type error, empty",
+        "fehler diese seite gibt es nicht mehr, die angeforderte seite wurde nicht gefunden",
+        "zugriff verweigert, bitte melden sie sich erneut an",
+        "der dienst server ist zurzeit nicht erreichbar verfügbar, vorgang, bitte versuchen sie es später erneut",
+        "interner serverfehler, ihre sitzung ist abgelaufen",
+        "erreur la page demandée est introuvable, cette page n existe pas",
+        "accès refusé, vous n avez pas les droits, veuillez vous reconnecter, votre session a expiré",
+        "service indisponible pour le moment, incident, veuillez réessayer plus tard, erreur interne du serveur",
+        "error no encontramos la página solicitada, esta página no existe",
+        "acceso denegado, inicie sesión otra vez, su sesión ha caducado",
+        "el servicio no está disponible ahora mismo, referencia, inténtelo de nuevo más tarde, error interno del servidor",
+    ],
+    "script": [
+        "you need to enable javascript js scripting scripts to run this app application",
+        "please turn on enable activate javascript js scripting scripts in your browser and reload the page",
+        "javascript js scripting is disabled, some parts of this page will not work until you activate enable it",
+        "your browser does not support scripts scripting javascript, so the document page cannot be displayed",
+        "this viewer page site app requires javascript js scripting scripts, it appears to be switched off",
+        "loading document viewer, if nothing happens, allow scripts and cookies for this page",
+        "bitte aktivieren sie javascript js scripting scripts, um diese seite anzuzeigen",
+        "ohne javascript js scripting kann dieses dokument diese seite nicht geladen angezeigt werden",
+        "veuillez activer javascript js scripting pour afficher ce document cette page",
+        "votre navigateur bloque les scripts, la page ne peut pas s afficher",
+        "active activa habilite javascript js scripting para ver esta página este documento",
+        "su navegador no permite scripts y el documento no se puede mostrar",
+    ],
+    "filler": [
+        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua"
+        " anim commet dolen egestin eros faucis lacin ligun massor mira nulor pharen porta quasit risat sagor serat tempun turpin urnat velis veltor vitam",
+        "foo bar baz qux asdf qwert qwerty abc test testing",
+        "test blah bla text etc xxx xyz",
+        "text goes here, your content text will appear in this place, insert add your text here, sample text, example text",
+        "add more text to fill this block, replace this paragraph text with your own words, write a short description here",
+        "dummy paragraph text to show the layout",
+        "hier steht ein beispieltext, platzhaltertext, blindtext",
+        "texte provisoire à remplacer, texte d exemple, votre texte ici",
+        "aquí va el texto de ejemplo, texto de relleno, su texto aquí",
+        "heading one two, subheading, section title, body text, caption text, bullet point, list item",
+        "under construction, coming soon, content pending, to be completed, tbd, tba, todo, placeholder only",
+        "the author has not supplied any text yet, please check back later, this section will be written at a later date",
+    ],
+}
+
+# Shapes of unfilled placeholders.
+PLACEHOLDER = re.compile(
+    r"""
+    \{\{\s*[A-Za-z][\w.-]*\s*\}\} | \$\{\s*[A-Za-z][\w.-]*\s*\} | \#\{\s*[A-Za-z][\w.-]*\s*\}
+  | <%=?\s*[A-Za-z][\w.-]*\s*%> | \{%\s*[A-Za-z][\w. -]*%\}
+  | \[\[[A-Za-z][\w .-]*\]\] | <<[A-Za-z][\w .-]*>> | &lt;[A-Za-z]\w*[ _-][\w ._-]*&gt;
+  | \[(?:insert|your|enter|add|todo|tbd|name\ of)\b[^\]\n]{0,80}\] | <[A-Za-z][\w ]*\ (?:goes\ here|here)>
+  | \{[A-Za-z]+[._-][A-Za-z]+\} | (?<![\w%])%[A-Za-z]+_[A-Za-z_]+%(?!\w) | @@[A-Za-z]\w*@@
+  | (?<![A-Za-z0-9_/+])(?:__[A-Za-z]+_[A-Za-z_]+?__|XX_[A-Za-z_]+?_XX)(?![A-Za-z0-9_/+])
+    """,
+    re.VERBOSE | re.IGNORECASE,
+)
+OPENERS = ("{", "[", "<", "%", "@@", "__", "XX_", "&lt;")
+FENCED = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*|\Z)", re.DOTALL | re.MULTILINE)
+QUOTED = re.compile(r"``[^\n]*?``|`[^`\n]*`")
+WORD = re.compile(r"[^\W\d_]+")
+PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
+MENU = re.compile(r" [|»·›/•>] ")
+
+
+@dataclass
+class Index:
+    """Inverted index of the exemplars, with the weights of their terms."""
+
+    postings: dict[str, list[int]]
+    labels: list[str]
+    weight: dict[str, float]
+    outside: float
+
+    @classmethod
+    def build(cls, frequencies: dict[str, int], documents: int, cap: float) -> Index:
+        labels, postings = [], {}
+        for label, texts in EXEMPLARS.items():
+            for t in texts:
+                for term in set(terms(t)):
+                    postings.setdefault(term, []).append(len(labels))
+                labels.append(label)
+        weight = {t: min(cap, 0.1 + math.log((documents + 1) / (frequencies.get(t, 0) + 1))) for t in postings}
+        return cls(postings, labels, weight, cap)
+
+    def containment(self, window: list[str], wanted: tuple[str, ...]) -> float:
+        """Share of the window's mass that the best exemplar of the wanted labels covers."""
+        total = 0.0
+        mass = [0.0] * len(self.labels)
+        for term in window:
+            hit = self.postings.get(term)
+            if hit is None:
+                total += self.outside
+                continue
+            w = self.weight[term]
+            total += w
+            for e in hit:
+                mass[e] += w
+        best = max((m for m, label in zip(mass, self.labels) if label in wanted), default=0.0)
+        return best / total if total else 0.0
+
+
+def terms(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+VOCABULARY = frozenset(t for texts in EXEMPLARS.values() for x in texts for t in terms(x))
+FILLER = frozenset(t for x in EXEMPLARS["filler"] for t in terms(x))
+
+
+def is_menu(line: str) -> bool:
+    """Navigation rather than a sentence: separators, or a few words without an end mark."""
+    return bool(MENU.search(line)) or (line[-1] not in ".!?;:" and len(line.split()) <= 8)
+
+
+def message_kind(text: str, index: Index, threshold: float) -> str | None:
+    """``error`` or ``script`` if, apart from menu lines, the whole text is such a message."""
+    found, told = None, 0
+    for raw in text.split("\n"):
+        line = raw.strip(BLANKS)
+        if not line:
+            continue
+        if line.startswith("|"):
+            return None
+        window = [t for t in terms(line) if len(t) > 1]
+        score = index.containment(window, ("error",))
+        script = index.containment(window, ("script",))
+        if max(score, script) >= threshold:
+            told += len(window)
+            if found is None or script > score:
+                found = "script" if script > score else "error"
+        elif window and not is_menu(line):
+            return None
+    return found if told >= 3 else None
+
+
+def is_filler(paragraph: str, index: Index, threshold: float) -> bool:
+    window = terms(paragraph)
+    if not window or sum(t in FILLER for t in window) < 0.6 * len(window):
+        return False
+    return index.containment(window, ("filler",)) >= threshold or (
+        # several filler sentences in a row, each from an exemplar of its own
+        all(index.containment(w, ("filler",)) >= threshold for s in re.split(r"[.!?\n]+", paragraph) if (w := terms(s)))
+    )
+
+
+def residue_kinds(text: str, index: Index, message: float, filler: float) -> list[str]:
+    """Labels of the residue in one text."""
+    kinds = []
+    plain = QUOTED.sub(" ", FENCED.sub("\n\n", text)) if "`" in text or "~~~" in text else text
+    if any(o in plain for o in OPENERS) and PLACEHOLDER.search(plain):
+        kinds.append("placeholder")
+    if any(is_filler(p, index, filler) for p in PARAGRAPH.split(plain)):
+        kinds.append("filler")
+    if (kind := message_kind(plain, index, message)) is not None:
+        kinds.append(kind)
+    return kinds
+
+
+def exemplar_frequencies(df: DataFrame, key: str, text: str) -> tuple[dict[str, int], int]:
+    """Document frequencies of the exemplars' terms, over all documents, and the number of documents.
+
+    The result is bounded by the exemplars' vocabulary.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        n = 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                n += 1
+                seen.update(VOCABULARY.intersection(WORD.findall(t.lower())))
+        cells = [*seen.items(), ("", n)]
+        yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.int64())], ["term", "n"])
+
+    parts = df.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "term string, n long")
+    sums = dict(parts.groupBy("term").agg(F.sum("n")).toLocalIterator())
+    return sums, sums.pop("", 0)
+
+
+def template_residue(
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, message: float = 0.6, filler: float = 0.75, weight_cap: float = 6.0
+) -> DataFrame:
+    """(key, kind) for every document with residue; ``kind``: placeholder, filler, error, script.
+
+    ``message`` and ``filler`` are the least containments of a message line and
+    of a filler paragraph; ``weight_cap`` bounds the weight of a term, and is
+    the weight of terms that no exemplar has.  Code in fences or backticks is
+    ignored.  Null and blank texts and null keys give no rows; rows that repeat
+    whole count once; other columns are ignored; an empty table gives no rows.
+    """
+    frequencies, documents = exemplar_frequencies(df, key, text)
+    index = Index.build(frequencies, documents, weight_cap)
+
+    def rows(keys: list, texts: list) -> Iterator[tuple]:
+        for k, t in zip(keys, texts):
+            if k is not None and t:
+                for kind in residue_kinds(t, index, message, filler):
+                    yield k, kind
+
+    kind = df.schema[key].dataType.simpleString()
+    return map_rows(df, f"{key} {kind}, kind string", rows, key, text).distinct()
