@@ -7,11 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, packing, quality, residue, splitting, terms
+from siltstone.llm import leakage, neardup, neighbours, packing, quality, residue, splitting, terms
 from siltstone.llm.common import unflagged
 from siltstone.session import table
 
 
+def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.nearest_vectors(table(spark, d, "text_store"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(neighbours.nearest_vectors(table(spark, d, "text_store"), least_cosine=0.9), 0.9)
+
+
+def near_records(spark: SparkSession, d: str) -> neardup.NearDuplicates:
+    records = table(spark, d, "doc_records").where(unflagged(images=False))
+    return neardup.near_duplicates(records, width=3, threshold=0.6, least_words=40)
+
+
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_records(spark, d).groups().withColumnRenamed("id", "rec_id")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return near_records(spark, d).pairs().select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"))
+
+
 def p3_stats(spark: SparkSession, d: str) -> DataFrame:
     return quality.text_statistics(table(spark, d, "doc_records"))
 
@@ -65,7 +86,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p3_found, p3_stats, p4_found, p4_pieces, p5_found, p5_terms, p7_found, p7_pack, p8_found, p8_passages, p9_found, p9_kinds,
+        p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_stats, p4_found, p4_pieces, p5_found, p5_terms, p7_found, p7_pack, p8_found, p8_passages, p9_found, p9_kinds,
     )
 }
 
@@ -77,7 +98,30 @@ TERMS_SQL = """
                  case when records <= 2 then 'rare' when records > 0.2 * (select count(*) from r) then 'common' end as mark from c)
 """
 
+USABLE_SQL = """
+    u as (select vec_id, any_value(embedding)::double[] as e from text_store
+          where embedding is not null and len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = 64
+                and len(list_filter(embedding, lambda x: x <> 0)) > 0
+          group by vec_id),
+    c as (select a.vec_id, b.vec_id as neighbour_id, round(list_cosine_similarity(a.e, b.e), 6) as cosine
+          from u a join u b on a.vec_id <> b.vec_id),
+    n as (select vec_id, row_number() over (partition by vec_id order by cosine desc, neighbour_id)::int as rank, neighbour_id, cosine
+          from c qualify rank <= 5)
+"""
+
 SQL: dict[str, str] = {
+    "p1_found": f"""with {USABLE_SQL} select distinct least(vec_id, neighbour_id) as vec_a, greatest(vec_id, neighbour_id) as vec_b
+        from n where cosine >= 0.9""",
+    "p2_found": """
+        with r as (select rec_id, regexp_extract_all(lower(any_value(page_content)), '[a-z0-9]+') as w from doc_records
+                   where image_path is null and page_content is not null and not coalesce(table_md, false)
+                         and not coalesce(table_json, false) and not coalesce(table_row, false) group by rec_id),
+        s as (select distinct rec_id, array_to_string(w[p : p + 2], ' ') as g
+              from (select rec_id, w, unnest(range(1, len(w) - 1)) as p from r where len(w) >= 40)),
+        z as (select rec_id, count(*) as n from s group by rec_id),
+        i as (select a.rec_id as rec_a, b.rec_id as rec_b, count(*) as k from s a join s b on a.g = b.g and a.rec_id < b.rec_id group by 1, 2)
+        select rec_a, rec_b from i join z x on x.rec_id = rec_a join z y on y.rec_id = rec_b where k >= 0.6 * (x.n + y.n - k)
+    """,
     "p5_terms": TERMS_SQL + "select term, occurrences, records, mark from m",
     "p5_found": TERMS_SQL + "select term, mark from m where mark is not null",
     "p7_found": r"select distinct doc_id from documents where len(regexp_extract_all(text, '[^ \t\r\n]+')) > 480",
