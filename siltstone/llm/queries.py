@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import leakage, neardup, neighbours, packing, quality, residue, splitting, terms
+from siltstone.llm import leakage, neardup, neighbours, packing, quality, residue, scans, splitting, terms
 from siltstone.llm.common import unflagged
 from siltstone.session import table
 
@@ -58,6 +58,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return p5_terms(spark, d).where(F.col("mark").isNotNull()).select("term", "mark")
 
 
+def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
+    of_pdf = F.lower(F.col("source")).endswith(".pdf")
+    records = table(spark, d, "doc_records").where(unflagged(images=True) & (F.coalesce(F.col("ocr"), F.lit(False)) | F.coalesce(of_pdf, F.lit(False))))
+    return scans.repair_scans(records)
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.noise_kinds(p6_repaired(spark, d))
+
+
 def p7_pack(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"))
 
@@ -86,7 +96,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_stats, p4_found, p4_pieces, p5_found, p5_terms, p7_found, p7_pack, p8_found, p8_passages, p9_found, p9_kinds,
+        p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_stats, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_repaired, p7_found, p7_pack, p8_found, p8_passages, p9_found, p9_kinds,
     )
 }
 
