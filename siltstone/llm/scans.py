@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -298,11 +299,12 @@ def repair_scans(
     """
     language = corpus_language(df, text, word_share, pair_share, least_count)
     sent = df.sparkSession.sparkContext.broadcast((language.words, language.pairs, language.total))
+    name = uuid.uuid4().hex
 
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         global _language
-        if _language is None or _language[0] != sent.id:
-            _language = (sent.id, Language(*sent.value))
+        if _language is None or _language[0] != name:
+            _language = (name, Language(*sent.value))
         seen: set = set()
         for k, t in zip(keys, texts):
             if k is not None and t is not None and k not in seen:
