@@ -32,8 +32,8 @@ from siltstone.session import materialize
 CONFUSIONS = (
     ("c", "e", 0.02), ("@", "a", 0.3), ("0", "o", 0.3), ("†", "t", 0.3), ("|", "i", 0.3), ("|", "l", 0.1), ("1", "l", 0.3), ("1", "i", 0.1),
     ("ii", "u", 0.1), ("cl", "d", 0.02), ("5", "s", 0.3), ("li", "h", 0.02), ("rn", "m", 0.02), ("9", "g", 0.3), ("m", "in", 0.02),
-    ("6", "b", 0.3), ("vv", "w", 0.1), ("f", "e", 0.01), ("d", "cl", 0.01), ("8", "b", 0.1), ("3", "e", 0.1), ("$", "s", 0.3), ("h", "b", 0.005),
-    ("0", "d", 0.05), ("¢", "c", 0.3), ("€", "e", 0.3), ("l", "i", 0.005), ("m", "rn", 0.01), ("n", "ri", 0.005), ("w", "vv", 0.005),
+    ("6", "b", 0.3), ("vv", "w", 0.1), ("f", "e", 0.01), ("d", "cl", 0.01), ("8", "b", 0.1), ("3", "e", 0.1), ("$", "s", 0.3), ("¢", "c", 0.3),
+    ("€", "e", 0.3), ("l", "i", 0.005), ("m", "rn", 0.01), ("w", "vv", 0.005),
 )
 
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -47,15 +47,52 @@ PAGE_NUMBER = re.compile(
     re.IGNORECASE,
 )
 NUMBERED = re.compile(r"^\d{1,4}(?: {2,}| ?[|–—-] )\S|\S(?: {2,}| ?[|–—-] )\d{1,4}$")
-SPLIT = re.compile(r"([^\W\d_]+)(?:[-‐­¬][ \t]+|­)([^\W\d_]+)")
-#: A line end inside a word, after lines were put together.
+#: Stands where a line ended, after lines were put together.
 JOINT = "\x00"
-BROKEN = re.compile(r"([^\W\d_][\w@†|]*)[-‐­¬][ \t]*\x00[ \t]*([^\W\d_][\w@†|]*)")
+BREAKS = re.compile("[-‐\u00ad¬](?:[ \\t]*\x00[ \\t]*|[ \\t]+)|\u00ad")
+BEFORE = re.compile(r"[^\W\d_][\w@†|]*$")
+AFTER = re.compile(r"[^\W\d_][\w@†|]*")
 #: A sign or digit inside a word of small letters: misread, even where the word is unknown.
 ODD = re.compile(r"^[^\W\d_A-Z]*[^\W\d_A-Z][@†|¢€015698$]+[^\W\d_A-Z]{2,}$|^[^\W\d_A-Z]{2,}[@†|¢€015698$]+[^\W\d_A-Z]+$")
 CODE = re.compile(r"^[A-Z]{2,}-\d+$|^\d[\d.,]*$")
 
 
+#: Makes a word and all its misreadings equal (and some other words too).
+FOLD = str.maketrans(
+    {**dict.fromkeys("cf3¢€", "e"), **dict.fromkeys("lr1|", "i"), **dict.fromkeys("uh", "ii"), **dict.fromkeys("68", "b"), "@": "a", "0": "o", "†": "t", "5": "s", "$": "s", "9": "g", "m": "in", "w": "vv", "d": "ei"}
+)
+
+
+def channel(read: str, printed: str) -> float | None:
+    """Log probability that the one was read for the other; None if no confusions explain it."""
+    if read == printed:
+        return 0.0
+    if read[:1] == printed[:1] and read:
+        n = 1
+        while n < min(len(read), len(printed)) and read[n] == printed[n]:
+            n += 1
+        rest = channel(read[n:], printed[n:])
+        if rest is not None:
+            return rest
+        # the equal start may have to be shorter: a sequence that was misread began in it
+        for k in range(n - 1, max(-1, n - 3), -1):
+            rest = _confused(read[k:], printed[k:])
+            if rest is not None:
+                return rest
+        return None
+    return _confused(read, printed)
+
+
+def _confused(read: str, printed: str) -> float | None:
+    best = None
+    for seen, meant, q in CONFUSIONS:
+        if read.startswith(seen) and printed.startswith(meant):
+            rest = channel(read[len(seen) :], printed[len(meant) :])
+            if rest is not None and (best is None or rest + math.log(q) > best):
+                best = rest + math.log(q)
+    return best
+
+
 @dataclass
 class Language:
     """Frequent words and word pairs of the corpus, with their counts."""
@@ -64,6 +101,12 @@ class Language:
     pairs: dict[str, int]
     total: int
     cache: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
+    folds: dict[str, list[str]] = field(default_factory=dict)
+    plain: set[str] = field(default_factory=set)
+
+    def __post_init__(self) -> None:
+        for w in self.words:
+            self.folds.setdefault(w.translate(FOLD), []).append(w)
 
     def count(self, word: str) -> int:
         return self.words.get(word, 0)
@@ -75,35 +118,29 @@ class Language:
         return math.log(0.5 * alone + 0.5 * together) if together else math.log(0.5 * alone)
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
-        """(what may have been printed, log of the channel's probability), the word itself first."""
+        """(what may have been printed, log of the channel's probability), the word itself first.
+
+        A word and its misreadings fold to one string, under which the frequent
+        words are filed, so any number of misread characters costs one look-up.
+        """
         found = self.cache.get(word)
         if found is None:
             found = [(word, 0.0)]
             own = self.words.get(word, 0)
-            if own < 2e-4 * self.total + 1 and len(word) > 2 or not word.isalpha():
-                best: dict[str, float] = {}
-                odd = not word.replace("-", "").isalpha()
-                layer = {word: 0.0}
-                for _ in range(3 if odd else 2):
-                    following: dict[str, float] = {}
-                    for w, p in layer.items():
-                        for read, printed, q in CONFUSIONS:
-                            at = w.find(read)
-                            while at >= 0:
-                                c = w[:at] + printed + w[at + len(read) :]
-                                following[c] = max(following.get(c, -99.0), p + math.log(q))
-                                at = w.find(read, at + 1)
-                    for c, p in following.items():
-                        if c != word and self.words.get(c, 0) > max(5 * own, 2):
-                            best[c] = max(best.get(c, -99.0), p)
-                    if best or len(following) > 400:
-                        break
-                    layer = following
-                found += sorted(best.items(), key=lambda x: -x[1])[:6]
+            if len(word) > 2 and own < 2e-4 * self.total + 1 or len(word) == 2 and not word.isalpha():
+                others = [(c, p) for c in self.folds.get(word.translate(FOLD), ()) if self.words[c] > max(5 * own, 2) and (p := channel(word, c)) is not None]
+                found += sorted(others, key=lambda x: -x[1])[:6]
             if len(self.cache) < 300_000:
                 self.cache[word] = found
+                if len(found) == 1 and not ODD.match(word):
+                    self.plain.add(word)
         return found
 
+    def clear(self, text: str) -> bool:
+        """True if every word of the text can only be itself."""
+        unknown = [w for w in CORE.findall(text.lower()) if w not in self.plain]
+        return all(len(self.candidates(w)) == 1 and not ODD.match(w) for w in unknown)
+
     def decoded(self, words: list[str]) -> list[str]:
         """The most likely printed words of a line (Viterbi)."""
         options = [self.candidates(w) for w in words]
@@ -148,7 +185,7 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
     for i, x in body:
         words = x.split()
         low = WORD.findall(x.lower())
-        if len(words) <= 12 and len(x) <= 90 and low and not re.match(r"[^\W\d_A-Z]*[a-z]", x) and not re.search(r"[.?!;,]$|[-­]$", x):
+        if len(words) <= 12 and len(x) <= 90 and low and not re.match(r"[^\W\d_A-Z]*[a-z]", x) and not re.search("[-.?!;,\u00ad]$", x):
             if sum(w in COMMON_WORDS for w in low) <= 0.34 * len(low) and not re.search(r"[.?!;] [A-Z]", x):
                 shape.setdefault(folded(x), []).append(i)
     headers = {i for key, at in shape.items() if len(at) > 1 and len(key) > 3 for i in at}
@@ -186,34 +223,43 @@ def repaired(text: str, language: Language, least_misread: int) -> tuple[str, li
     joined: list[str] = []
     for p in filter(None, paragraphs):
         whole = f" {JOINT} ".join(p)
-        if joined and not SENTENCE_ENDED.search(joined[-1]) and (whole[:1].islower() or joined[-1].endswith(("-", "­"))) and (headers or numbers or len(joined[-1]) > 60):
+        if joined and not SENTENCE_ENDED.search(joined[-1]) and (whole[:1].islower() or joined[-1].endswith(("-", "\u00ad"))) and (headers or numbers or len(joined[-1]) > 60):
             joined[-1] += f" {JOINT} {whole}"  # a page ended inside the paragraph
         else:
             joined.append(whole)
     hyphens = 0
 
-    def mend(m: re.Match) -> str:
+    def rejoined(p: str) -> str:
+        """The paragraph with its broken words in one."""
         nonlocal hyphens
-        a, b = m.group(1), m.group(2)
-        whole, compound = (a + b).lower(), f"{a}-{b}".lower()
-        known = max((language.count(c) for c, _ in language.candidates(whole)), default=0)
-        own = language.count(compound)
-        if not known and not own and b[:1].islower():
-            # neither form is frequent: two words of their own make a compound, else it is one word
-            known = not (language.count(a.lower()) > 20 and language.count(b.lower()) > 20)
-        if b[:1].islower() and known > own:
-            hyphens += 1
-            return a + b
-        return f"{a}-{b}"
+        out, at = "", 0
+        for m in BREAKS.finditer(p):
+            out += p[at : m.start()]
+            at = m.start()
+            left, right = BEFORE.search(out[-60:]), AFTER.match(p, m.end())
+            if not left or not right:
+                continue
+            a, b = left.group(), right.group()
+            whole, compound = (a + b).lower(), f"{a}-{b}".lower()
+            known = max((language.count(c) for c, _ in language.candidates(whole)), default=0)
+            own = language.count(compound)
+            if not known and not own:
+                # neither form is frequent: two words of their own make a compound, else it is one word
+                known = not (language.count(a.lower()) > 20 and language.count(b.lower()) > 20)
+            at = m.end()
+            if b[:1].islower() and known > own:
+                hyphens += 1
+            else:
+                out += "-"
+        return out + p[at:]
 
     misread = 0
     out = []
     for p in joined:
-        for _ in range(2):  # a second break may follow within the same word
-            p = SPLIT.sub(mend, BROKEN.sub(mend, p))
-        p = p.replace(JOINT, " ")
-        if "­" in p:
-            p = p.replace("­", "")
+        p = rejoined(p).replace(JOINT, " ").replace("\u00ad", "")
+        if language.clear(p):
+            out.append(re.sub(r"[ \t]+", " ", p).strip())
+            continue
         spans = [m for m in CORE.finditer(p) if not CODE.match(m.group())]
         low = [m.group().lower() for m in spans]
         parts, at = [], 0
