@@ -14,6 +14,7 @@ cut into cells of bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,10 +109,13 @@ def class_neighbours(
     cell_data: int, cell_queries: int,
 ) -> DataFrame:
     """(q, d, cosine): for every class its ``k`` best other classes, cosines rounded to 6 decimals, ties to the lower id."""
-    drawn = classes.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("vec").toPandas()["vec"]
+    # a little more than the sample by hash, then exactly its bound: no task sends the driver a sample of its own
+    share = min(1.0, 1.2 * sample_rows / max(1, n))
+    likely = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
+    drawn = [r[0] for r in likely.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("vec").toLocalIterator()]
     turn = rotation(dim)
     lists = lists or max(1, min(4096, round(n**0.5)))
-    sample = (unit_rows(list(drawn), dim).astype(np.float32) @ turn) if len(drawn) else np.zeros((0, dim), np.float32)
+    sample = (unit_rows([bytes(v) for v in drawn], dim).astype(np.float32) @ turn) if len(drawn) else np.zeros((0, dim), np.float32)
     centroids = fit_centroids(sample, min(lists, len(sample))) if len(sample) else np.zeros((1, dim), np.float32)
     probes = min(probes, len(centroids))
 
