@@ -32,9 +32,9 @@ EXEMPLARS = {
         "you do not have permission, clearance, access or the rights to view, open or edit this page file folder record item document",
         "access denied forbidden unauthorized: you lack permission to open this file folder page item, please log in or sign in",
         "the server archive host site service could not complete your request, try again in a few minutes",
-        "our this the servers server host archive site service is are overloaded, down for maintenance, unavailable or offline at the moment",
+        "our this the servers server host archive site service is are overloaded, down for maintenance, unavailable, offline or not responding at the moment",
         "internal server error, bad gateway, service temporarily unavailable due to maintenance, thank you for your patience",
-        "gateway timeout: the upstream service server gave no answer within seconds, the request timed out",
+        "gateway timeout: the upstream service server gave no answer, is not responding within seconds, the request timed out",
         "the connection to was refused, reset or closed after seconds",
         "too many requests, slow down and retry after seconds, id",
         "your session has expired, sign in log in again to continue",
@@ -178,7 +178,7 @@ def message_kind(text: str, index: Index, threshold: float) -> str | None:
 
 def is_filler(paragraph: str, index: Index, threshold: float) -> bool:
     window = terms(paragraph)
-    if not window or sum(t in FILLER for t in window) < 0.6 * len(window):
+    if not window or paragraph.lstrip(BLANKS).startswith("#") or sum(t in FILLER for t in window) < 0.6 * len(window):
         return False
     return index.containment(window, ("filler",)) >= threshold or (
         # several filler sentences in a row, each from an exemplar of its own
