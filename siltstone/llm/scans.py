@@ -196,7 +196,7 @@ def furniture(lines: list[str]) -> tuple[set[int], set[int]]:
         k, x = place[i], lines[i]
         before = lines[order[k - 1]] if k else ""
         after = lines[order[k + 1]] if k + 1 < len(order) else ""
-        numbered = bool(NUMBERED.search(x)) and len(x.split()) >= 3
+        numbered = bool(NUMBERED.search(x)) and len(x.split()) >= 3 and len(x) < 0.75 * width
         cuts_in = before and not ENDED.search(before) and after[:1].islower() and len(x) < 0.75 * width
         if numbered or cuts_in:
             headers.add(i)
