@@ -30,8 +30,8 @@ from siltstone.session import materialize
 
 # What is read, what was printed, and how likely that is a misreading rather than the word itself.
 CONFUSIONS = (
-    ("c", "e", 0.02), ("@", "a", 0.3), ("0", "o", 0.3), ("†", "t", 0.3), ("|", "i", 0.3), ("|", "l", 0.1), ("1", "l", 0.3), ("1", "i", 0.1),
-    ("ii", "u", 0.1), ("cl", "d", 0.02), ("5", "s", 0.3), ("li", "h", 0.02), ("rn", "m", 0.02), ("9", "g", 0.3), ("m", "in", 0.02),
+    ("c", "e", 0.1), ("@", "a", 0.3), ("0", "o", 0.3), ("†", "t", 0.3), ("|", "i", 0.3), ("|", "l", 0.1), ("1", "l", 0.3), ("1", "i", 0.1),
+    ("ii", "u", 0.1), ("cl", "d", 0.05), ("5", "s", 0.3), ("li", "h", 0.05), ("rn", "m", 0.05), ("9", "g", 0.3), ("m", "in", 0.05),
     ("6", "b", 0.3), ("vv", "w", 0.1), ("f", "e", 0.01), ("d", "cl", 0.01), ("8", "b", 0.1), ("3", "e", 0.1), ("$", "s", 0.3), ("¢", "c", 0.3),
     ("€", "e", 0.3), ("l", "i", 0.005), ("m", "rn", 0.01), ("w", "vv", 0.005),
 )
@@ -127,7 +127,7 @@ class Language:
         if found is None:
             found = [(word, 0.0)]
             own = self.words.get(word, 0)
-            if len(word) > 2 and own < 2e-4 * self.total + 1 or len(word) == 2 and not word.isalpha():
+            if len(word) > 2 and own < 2e-4 * self.total + 10 or len(word) == 2 and not word.isalpha():
                 others = [(c, p) for c in self.folds.get(word.translate(FOLD), ()) if self.words[c] > max(5 * own, 2) and (p := channel(word, c)) is not None]
                 found += sorted(others, key=lambda x: -x[1])[:6]
             if len(self.cache) < 300_000:
@@ -207,7 +207,7 @@ def repaired(text: str, language: Language, least_misread: int) -> tuple[str, li
     """The text as continuous paragraphs, and the kinds of noise that it had."""
     lines = [x.strip() for x in BREAK.split(text)]
     words = WORD.findall(text.lower())
-    if not words or sum(w in COMMON_WORDS for w in words) < 0.18 * len(words):
+    if not words or text.lstrip().startswith(("|", "{")) or sum(w in COMMON_WORDS for w in words) < 0.18 * len(words):
         return text, []  # not running text: nothing to put together
     headers, numbers = furniture(lines)
     noise = []
