@@ -22,27 +22,6 @@ def unflagged(*, images: bool) -> Column:
     return plain if images else plain & F.col("image_path").isNull()
 
 
-def keyed_once(df: DataFrame, key: str) -> DataFrame:
-    """One row for each key, for rows that repeat whole: a hot key shrinks before the shuffle.
-
-    Repeated deliveries carry the same content, so any of them may stand for all.
-    Null keys are dropped.  Only the first row of a key in each batch is shuffled.
-    """
-    schema = df.schema
-
-    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: set = set()
-            keep = []
-            for i, k in enumerate(b.column(key).to_pylist()):
-                if k is not None and k not in seen:
-                    seen.add(k)
-                    keep.append(i)
-            yield b if len(keep) == b.num_rows else b.take(pa.array(keep, pa.int64()))
-
-    return df.mapInArrow(thin, schema).dropDuplicates([key])
-
-
 def map_rows(df: DataFrame, schema: str, fn: Callable[[list, list], Iterator[tuple]], key: str, text: str) -> DataFrame:
     """Run ``fn(keys, texts)`` over Arrow batches of two columns; it yields row tuples of ``schema``."""
     from pyspark.sql.types import _parse_datatype_string  # noqa: PLC2701

@@ -132,6 +132,20 @@ SQL: dict[str, str] = {
         i as (select a.rec_id as rec_a, b.rec_id as rec_b, count(*) as k from s a join s b on a.g = b.g and a.rec_id < b.rec_id group by 1, 2)
         select rec_a, rec_b from i join z x on x.rec_id = rec_a join z y on y.rec_id = rec_b where k >= 0.6 * (x.n + y.n - k)
     """,
+    "p4_found": """
+        with recursive r as (select rec_id, any_value(page_content) as t from doc_records where page_content is not null group by rec_id),
+        l as (select rec_id, unnest(string_split(t, chr(10))) as line, generate_subscripts(string_split(t, chr(10)), 1) as i from r),
+        b as (select rec_id, i, line, trim(line, ' ' || chr(9) || chr(13) || chr(10)) as bare from l),
+        k as (select *, case when bare like '```%' then 1 when bare like '~~~%' then 2 else 0 end as f from b),
+        s as (
+            select rec_id, 0::bigint as i, 0 as fence, 0 as section_no, false as header from r
+            union all
+            select k.rec_id, k.i, case when s.fence = 0 then k.f when k.f = s.fence then 0 else s.fence end,
+                   s.section_no + (s.fence = 0 and k.f = 0 and regexp_matches(bare, '^#{1,3}( |$)'))::int, s.fence = 0 and k.f = 0 and regexp_matches(bare, '^#{1,3}( |$)')
+            from s join k on k.rec_id = s.rec_id and k.i = s.i + 1),
+        x as (select s.rec_id, s.section_no, string_agg(k.line, chr(10) order by k.i) as body from s join k on k.rec_id = s.rec_id and k.i = s.i where not s.header group by 1, 2)
+        select rec_id, section_no from x where length(trim(body, ' ' || chr(9) || chr(13) || chr(10))) > 800
+    """,
     "p5_terms": TERMS_SQL + "select term, occurrences, records, mark from m",
     "p5_found": TERMS_SQL + "select term, mark from m where mark is not null",
     "p7_found": r"select distinct doc_id from documents where len(regexp_extract_all(text, '[^ \t\r\n]+')) > 480",
