@@ -58,6 +58,7 @@ def in_order(rank: Column, text: Column, separator: str) -> Column:
 
 
 def prompt(question: Column, blocks: Column) -> Column:
+    # The wording of the prompt.
     return F.concat(
         F.lit("You are a helpful assistant. Use ONLY the sources below.\n\nUser question: "), question, F.lit("\n\n"), blocks,
         F.lit("\n\nCite facts like (Source 2)."),

@@ -85,9 +85,6 @@ class Store:
         self._fs(f"{self.root}/{MARKER}")[0].create(self._fs(f"{self.root}/{MARKER}")[1]).close()
         return True
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(f"{self.root}/{name}")
-
 
 def latest(df: DataFrame, key: str, at: str) -> DataFrame:
     """One row for each key, the one delivered last; keys hold few rows each, and null keys are dropped."""
