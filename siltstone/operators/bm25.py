@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.schemas import TOP_BM25
-from siltstone.session import materialize
+from siltstone.session import materialize, ship
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -35,6 +35,7 @@ class Index:
 
 def analysed(df: DataFrame, id: str, text: str) -> DataFrame:
     """(doc, dl, terms, tfs): lower-cased runs of non-blank characters with their counts; null is an empty text."""
+    ship(df.sparkSession)
     kind = df.schema[id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from siltstone.schemas import CHUNK_CHARS, CHUNK_OVERLAP, INGEST_WINDOW, WINDOW_OVERLAP
+from siltstone.session import ship
 
 SEPARATORS = ("\n\n", "\n", " ", "")
 
@@ -108,6 +109,7 @@ def chunk_documents(df: DataFrame, text: str = "content", *, size: int = CHUNK_C
 
     Null and blank texts give no piece.
     """
+    ship(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name != text]
     schema = StructType([*kept, StructField("section_ix", IntegerType()), StructField("piece_ix", IntegerType()), StructField("chunk", StringType())])
 

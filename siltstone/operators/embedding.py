@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from siltstone.plugins import Embedder, Tokenizer, WhitespaceTokenizer
 from siltstone.schemas import EMBED_BATCH, INGEST_WINDOW, QUERY_WINDOW, WINDOW_OVERLAP
+from siltstone.session import ship
 
 
 def split_windows(items: list, size: int, overlap: int) -> list[list]:
@@ -46,6 +47,7 @@ def embed_column(
 
     ``as_query``: the longer window of questions, and short texts as they are.
     """
+    ship(df.sparkSession)
     size = QUERY_WINDOW if as_query else INGEST_WINDOW
     words = tokenizer or WhitespaceTokenizer()
     schema = StructType([*(f for f in df.schema.fields if f.name != to), StructField(to, ArrayType(FloatType()))])

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import ship
+
 METRICS = ("l2", "cosine")
 
 
@@ -46,6 +48,7 @@ def nearest(
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
+    ship(store.sparkSession)
     q_kind, kind = questions.schema[question_id].dataType.simpleString(), store.schema[id].dataType.simpleString()
     out = f"question {q_kind}, id {kind}, distance double"
     rows = store.select(F.col(id).alias("id"), F.col(vector).alias("v")).where("id is not null and v is not null")

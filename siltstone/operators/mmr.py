@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.schemas import MMR_WEIGHT, TOP_MMR
+from siltstone.session import ship
 
 
 def select(question: np.ndarray, candidates: np.ndarray, k: int, weight: float) -> list[int]:
@@ -36,6 +37,7 @@ def diversify(
     candidates: DataFrame, *, question_id: str, question_vector: str, id: str, vector: str, rank: str = "rank", k: int = TOP_MMR, weight: float = MMR_WEIGHT
 ) -> DataFrame:
     """(question_id, mmr_rank, id) of the ``k`` chosen among each question's few candidates, which stand in the order of ``rank``."""
+    ship(candidates.sparkSession)
     q_kind, kind = candidates.schema[question_id].dataType.simpleString(), candidates.schema[id].dataType.simpleString()
 
     def run(t: pa.Table) -> pa.Table:

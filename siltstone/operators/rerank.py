@@ -11,6 +11,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from siltstone.plugins import OverlapReranker, Reranker
 from siltstone.schemas import TOP_RERANK
+from siltstone.session import ship
 
 
 def rerank(
@@ -20,6 +21,7 @@ def rerank(
 
     An empty or null document is scored as a blank.
     """
+    ship(candidates.sparkSession)
     scorer = model or OverlapReranker()
     schema = StructType([*candidates.schema.fields, StructField("score", DoubleType())])
 

@@ -13,15 +13,18 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = Path(__file__).resolve().parent
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
 def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
     """A single-JVM session for tests and the bench."""
-    return (
+    session = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("siltstone")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -31,6 +34,23 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.ui.enabled", "false")
         .getOrCreate()
     )
+    ship(session)
+    return session
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each context: they need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_siltstone_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="siltstone-code-")  # the driver serves the archive from here
+    atexit.register(shutil.rmtree, folder, True)
+    archive = f"{folder}/{PACKAGE.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted(PACKAGE.rglob("*.py")):
+            z.write(p, f"{PACKAGE.name}/{p.relative_to(PACKAGE)}")
+    context.addPyFile(archive)
+    context._siltstone_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -54,10 +74,21 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
     Cuts the lineage without relying on any executor's local storage.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/siltstone/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of a folder.
+
+    Where it comes in fewer parts than there are cores (one small file, say), it
+    is spread over them, as what follows costs far more than moving it.
+    """
+    ship(spark)
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 1_000_000:
+        return rows
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

@@ -17,7 +17,7 @@ from siltstone.functions.formatting import file_kind
 from siltstone.operators import tables
 from siltstone.plugins import ImageReader, NoImages, NoPdf, PdfReader
 from siltstone.schemas import METADATA
-from siltstone.session import materialize
+from siltstone.session import materialize, ship
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,6 +126,7 @@ def images(files: DataFrame, reader: ImageReader) -> tuple[DataFrame, DataFrame]
 
 def load_folder(spark: SparkSession, folder: str, *, image_reader: ImageReader | None = None, pdf_reader: PdfReader | None = None) -> tuple[DataFrame, DataFrame]:
     """(documents, images) of a folder; see the parts above."""
+    ship(spark)
     files = scan(spark, folder)
     read, pictures = images(files, image_reader or NoImages())
     return texts(files).unionByName(pdfs(files, pdf_reader or NoPdf())).unionByName(read), pictures
