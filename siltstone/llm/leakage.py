@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import ship
+
 WORD = re.compile("[a-z0-9]+")
 
 
@@ -146,6 +148,7 @@ def leaked_passages(
     ``benchmark`` is asked in blocks of ``block_items`` items, each block sent
     with the tasks; ``segment_words`` bounds the memory of a task's index.
     """
+    ship(docs.sparkSession)
     kind, item_kind = docs.schema[key].dataType, benchmark.schema[item_key].dataType
     schema = f"{key} {kind.simpleString()}, {item_key} {item_kind.simpleString()}, kind string, words int, doc_word int, item_word int"
     chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
