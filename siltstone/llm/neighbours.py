@@ -114,7 +114,7 @@ def class_neighbours(
     likely = classes.where(F.pmod(F.xxhash64("rep"), F.lit(1_000_000)) < F.lit(math.ceil(share * 1_000_000)))
     drawn = [r[0] for r in likely.orderBy(F.xxhash64("rep"), "rep").limit(sample_rows).select("vec").toLocalIterator()]
     turn = rotation(dim)
-    lists = lists or max(1, min(4096, round(n**0.5)))
+    lists = lists or max(1, min(4096, round(n**0.5 / 3)))
     sample = (unit_rows([bytes(v) for v in drawn], dim).astype(np.float32) @ turn) if len(drawn) else np.zeros((0, dim), np.float32)
     centroids = fit_centroids(sample, min(lists, len(sample))) if len(sample) else np.zeros((1, dim), np.float32)
     probes = min(probes, len(centroids))
@@ -196,7 +196,7 @@ def nearest_vectors(
     dim: int = 64,
     least_cosine: float | None = None,
     lists: int | None = None,
-    probes: int = 12,
+    probes: int = 8,
     sample_rows: int = 20_000,
     block: int = 16,
     epsilon: float = 3.0,
@@ -212,8 +212,8 @@ def nearest_vectors(
     the same id count once, other columns are ignored, empty tables give no rows.
 
     The centroids are fitted on at most ``sample_rows`` vectors; every vector is
-    filed and searched.  ``lists`` defaults to the square root of the number of
-    classes (4096 at most); ``probes`` lists are scanned for each query.
+    filed and searched.  ``lists`` defaults to a third of the square root of the
+    number of classes (4096 at most); ``probes`` lists are scanned for each query.
     """
     usable = materialize(usable_vectors(df, key, vector, dim).dropDuplicates(["id"]), "usable")
     classes = materialize(usable.groupBy("class_key").agg(F.min("id").alias("rep"), F.first("vec").alias("vec")), "classes")
