@@ -104,6 +104,41 @@ def adaptive_scan(queries: np.ndarray, data: np.ndarray, k: int, block: int, eps
     return qi, di
 
 
+def best_of(qi: np.ndarray, di: np.ndarray, cosine: np.ndarray, rep: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` best pairs of every query: by cosine, ties to the lower id."""
+    order = np.lexsort((rep[di], -cosine, qi))
+    qi, di, cosine = qi[order], di[order], cosine[order]
+    best = np.arange(len(qi)) - np.searchsorted(qi, qi) < k
+    return qi[best], di[best], cosine[best]
+
+
+def grouped_lists(
+    centroids: np.ndarray, held: dict[int, int], asked: dict[int, int], cell_data: int, cell_queries: int, together: int = 8
+) -> tuple[dict[int, int], dict[int, tuple[int, int]]]:
+    """(group of each list, cuts of each group along data and queries).
+
+    Neighbouring lists share a group, so that a query that asks several of them
+    is sent once.  A list beyond the size of a cell is a group of its own and is
+    cut; other groups are filled up to that size.
+    """
+    nearest = np.argmax(centroids @ fit_centroids(centroids, max(1, len(centroids) // together)).T, 1)
+    group_of: dict[int, int] = {}
+    cuts: dict[int, tuple[int, int]] = {}
+    load = (0, 0)
+    before = None
+    for x in sorted(held, key=lambda x: (nearest[x], x)):
+        mine = (held[x], asked.get(x, 0))
+        hot = mine[0] > cell_data or mine[1] > cell_queries
+        full = load[0] + mine[0] > 2 * cell_data or load[1] + mine[1] > 2 * cell_queries
+        if hot or before is None or nearest[x] != before or full:
+            cuts[len(cuts)] = (-(-mine[0] // cell_data), max(1, -(-mine[1] // cell_queries))) if hot else (1, 1)
+            load = (0, 0)
+        group_of[x] = len(cuts) - 1
+        load = (load[0] + mine[0], load[1] + mine[1])
+        before = None if hot else nearest[x]
+    return group_of, cuts
+
+
 def class_neighbours(
     classes: DataFrame, n: int, k: int, dim: int, lists: int | None, probes: int, sample_rows: int, least_cosine: float | None, block: int, epsilon: float,
     cell_data: int, cell_queries: int,
@@ -130,26 +165,32 @@ def class_neighbours(
     # of each list: how many vectors it holds, how many queries it gets (at most as many rows as lists)
     held = {r[0]: r[1] for r in placed.groupBy("own").count().toLocalIterator()}
     asked = {r[0]: r[1] for r in placed.select(F.explode("near").alias("l")).groupBy("l").count().toLocalIterator()}
-    cuts = {x: (-(-held[x] // cell_data), max(1, -(-asked.get(x, 0) // cell_queries))) for x in held}
+    group_of, cuts = grouped_lists(centroids, held, asked, cell_data, cell_queries)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, cell, query = [], [], []
+            rows, cell, query, wanted = [], [], [], []
             for i, (rep, own, near) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist())):
-                ds, qs = cuts[own]
+                ds, qs = cuts[group_of[own]]
                 for q in range(qs):
                     rows.append(i)
-                    cell.append((own << 32) + ((rep % ds) << 16) + q)
+                    cell.append((group_of[own] << 32) + ((rep % ds) << 16) + q)
                     query.append(False)
+                    wanted.append([own])
+                by_group: dict[int, list[int]] = {}
                 for x in near:
-                    if x in cuts:
-                        ds, qs = cuts[x]
-                        for d in range(ds):
-                            rows.append(i)
-                            cell.append((x << 32) + (d << 16) + rep % qs)
-                            query.append(True)
+                    if x in group_of:
+                        by_group.setdefault(group_of[x], []).append(x)
+                for g, lists_ in by_group.items():
+                    ds, qs = cuts[g]
+                    for d in range(ds):
+                        rows.append(i)
+                        cell.append((g << 32) + (d << 16) + rep % qs)
+                        query.append(True)
+                        wanted.append(lists_)
             at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(query, pa.bool_()), b.column(0).take(at), b.column(1).take(at)], ["cell", "is_query", "rep", "vec"])
+            columns = [pa.array(cell, pa.int64()), pa.array(query, pa.bool_()), b.column(0).take(at), b.column(1).take(at), pa.array(wanted, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["cell", "is_query", "rep", "vec", "lists"])
 
     farthest = 4.0 if least_cosine is None else 2 - 2 * least_cosine + 1e-4
 
@@ -158,30 +199,30 @@ def class_neighbours(
         rep = t.column("rep").to_numpy()
         exact = unit_rows(t.column("vec").to_pylist(), dim)
         turned = exact.astype(np.float32) @ turn
-        d_at, q_at = np.flatnonzero(~query), np.flatnonzero(query)
-        d_at = d_at[np.argsort(rep[d_at], kind="stable")]
-        out_q, out_d, out_c = [], [], []
-        for part in np.array_split(q_at, max(1, -(-len(q_at) * max(1, len(d_at)) // 2_000_000))):
-            if not len(part) or not len(d_at):
-                continue
-            qi, di = adaptive_scan(turned[part], turned[d_at], k, block, epsilon, farthest)
-            other = rep[part][qi] != rep[d_at][di]
-            qi, di = qi[other], di[other]
-            cosine = np.round(np.einsum("ij,ij->i", exact[part[qi]], exact[d_at[di]]), 6)
-            if least_cosine is not None:
-                keep = cosine >= least_cosine
-                qi, di, cosine = qi[keep], di[keep], cosine[keep]
-            order = np.lexsort((rep[d_at[di]], -cosine, qi))
-            qi, di, cosine = qi[order], di[order], cosine[order]
-            first = np.searchsorted(qi, qi)
-            best = np.arange(len(qi)) - first < k
-            out_q.append(rep[part[qi[best]]])
-            out_d.append(rep[d_at[di[best]]])
-            out_c.append(cosine[best])
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        return pa.table({"q": pa.array(join(out_q, np.int64), pa.int64()), "d": pa.array(join(out_d, np.int64), pa.int64()), "cosine": pa.array(join(out_c, np.float64), pa.float64())})
-
-    cells = placed.mapInArrow(spread, "cell long, is_query boolean, rep long, vec binary")
+        wanted = t.column("lists").combine_chunks()
+        list_of = wanted.flatten().to_numpy()
+        row_of = np.repeat(np.arange(len(query)), wanted.value_lengths().to_numpy())
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for x in np.unique(list_of[~query[row_of]]):
+            of_list = row_of[list_of == x]
+            d_at, q_at = of_list[~query[of_list]], of_list[query[of_list]]
+            for part in np.array_split(q_at, max(1, -(-len(q_at) * len(d_at) // 2_000_000))):
+                if not len(part):
+                    continue
+                qi, di = adaptive_scan(turned[part], turned[d_at], k, block, epsilon, farthest)
+                qi, di = part[qi], d_at[di]
+                other = rep[qi] != rep[di]
+                qi, di = qi[other], di[other]
+                cosine = np.round(np.einsum("ij,ij->i", exact[qi], exact[di]), 6)
+                if least_cosine is not None:
+                    keep = cosine >= least_cosine
+                    qi, di, cosine = qi[keep], di[keep], cosine[keep]
+                rows.append(best_of(qi, di, cosine, rep, k))
+        qi, di, cosine = (np.concatenate(x) for x in zip(*rows)) if rows else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+        qi, di, cosine = best_of(qi, di, cosine, rep, k)
+        return pa.table({"q": pa.array(rep[qi], pa.int64()), "d": pa.array(rep[di], pa.int64()), "cosine": pa.array(cosine, pa.float64())})
+
+    cells = placed.mapInArrow(spread, "cell long, is_query boolean, rep long, vec binary, lists array<int>")
     found = cells.groupBy("cell").applyInArrow(scan, "q long, d long, cosine double")
     rank = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cosine"), "d"))
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
