@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siltstone.session import materialize
+from siltstone.session import materialize, ship
 
 
 def usable_vectors(df: DataFrame, key: str, vector: str, dim: int) -> DataFrame:
@@ -256,13 +256,16 @@ def nearest_vectors(
     filed and searched.  ``lists`` defaults to a third of the square root of the
     number of classes (4096 at most); ``probes`` lists are scanned for each query.
     """
-    usable = materialize(usable_vectors(df, key, vector, dim).dropDuplicates(["id"]), "usable")
+    usable = usable_vectors(df, key, vector, dim)
+    ship(df.sparkSession)
+    # read twice, as that costs less than a written copy of the vectors; an id stays in one class whatever its rows hold
+    named = materialize(usable.groupBy("id").agg(F.min("class_key").alias("class_key")), "members")
     classes = materialize(usable.groupBy("class_key").agg(F.min("id").alias("rep"), F.first("vec").alias("vec")), "classes")
     n = classes.count()
     near = class_neighbours(classes, n, k, dim, lists, probes, sample_rows, least_cosine, block, epsilon, cell_data, cell_queries)
 
     # of every class the k + 1 lowest ids: more of it can't be among anyone's k best
-    members = usable.select("class_key", "id").join(classes.select("class_key", "rep"), "class_key").select("rep", "id")
+    members = named.join(classes.select("class_key", "rep"), "class_key").select("rep", "id")
     head = F.row_number().over(Window.partitionBy("rep").orderBy("id"))
     heads = members.withColumn("r", head).where(F.col("r") <= k + 1).select(F.col("rep").alias("d"), F.col("id").alias("other"))
     several = members.groupBy("rep").count().where("count > 1").select(F.col("rep").alias("q"), F.col("rep").alias("d"), F.lit(1.0).alias("cosine"))
