@@ -58,12 +58,12 @@ def shared_dir(spark: SparkSession) -> str:
     configured = spark.conf.get(CHECKPOINT_KEY, None)
     if configured:
         return configured.rstrip("/")
-    own = getattr(spark, "_siltstone_dir", None)
+    own = getattr(spark.sparkContext, "_siltstone_dir", None)
     if own is None:
         path = tempfile.mkdtemp(prefix="siltstone-")
         atexit.register(shutil.rmtree, path, True)
         own = f"file://{path}"
-        spark._siltstone_dir = own
+        spark.sparkContext._siltstone_dir = own
         spark.sparkContext.setCheckpointDir(own)
     return own
 
