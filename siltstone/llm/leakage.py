@@ -6,6 +6,9 @@ positions of its occurrences.  A run of ``min_words`` words always covers a
 whole aligned block of ``min_words // 2`` words of the item, so each block is a
 phrase query: its terms' position lists, shifted by their offsets, are
 intersected from the rarest term on.  Matches are then extended to both sides.
+A run that is broken at places holds no such block for certain, so for these
+every two terms that may follow each other in an item are looked up among the
+terms that do so in the documents; the steps found are chained.
 No postings are shuffled; the items are asked in blocks of bounded size.
 """
 
@@ -44,6 +47,21 @@ class Items:
             self.ids.append(item_id)
             self.words.append(numbers)
         self.blocks = list(where.items())  # equal blocks of several items are looked up once
+        self.item_of = np.repeat(np.arange(len(self.ids)), [len(w) for w in self.words])
+        self.starts = np.cumsum([0, *(len(w) for w in self.words)])
+
+    def steps(self, gap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(pair of terms, position in all items, step), by pair: terms with at most ``gap`` others between them."""
+        flat = np.concatenate([*self.words, np.zeros(0, np.int32)]).astype(np.int64)
+        pair, at, step = [], [], []
+        for d in range(1, gap + 2):
+            first = np.flatnonzero(self.item_of[:-d] == self.item_of[d:])
+            pair.append(flat[first] * len(self.terms) + flat[first + d])
+            at.append(first)
+            step.append(np.full(len(first), d))
+        pair, at, step = np.concatenate(pair), np.concatenate(at), np.concatenate(step)
+        order = np.argsort(pair, kind="stable")
+        return pair[order], at[order], step[order]
 
 
 class Segment:
@@ -89,6 +107,83 @@ class Segment:
         return sides[0], sides[1]
 
 
+def broken_runs(segment: Segment, items: Items, min_words: int, gap: int, most_steps: int = 1 << 21) -> Iterator[tuple[np.ndarray, ...]]:
+    """(document number, item number, words, position in the document, position in the item) of the longest chains.
+
+    A chain's equal words follow each other with at most ``gap`` others between
+    them, in text and item alike; of chains that begin at one word the longest
+    counts.  Unbroken ones are left out.  About ``most_steps`` steps are held.
+    """
+    pairs, item_at, item_step = items.steps(gap)
+    if not len(pairs):
+        return
+    known, first, count = np.unique(pairs, return_index=True, return_counts=True)
+    words = segment.words.astype(np.int64)
+    doc = np.searchsorted(segment.starts, np.arange(len(words)), side="right")
+    columns = []
+    for d in range(1, gap + 2):
+        at = np.flatnonzero((words[:-d] >= 0) & (words[d:] >= 0) & (doc[:-d] == doc[d:]))
+        pair = words[at] * len(items.terms) + words[at + d]
+        k = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        hit = known[k] == pair
+        columns.append(np.stack([at[hit], np.full(hit.sum(), d), k[hit]]))
+    at, step, k = np.concatenate(columns, 1)
+    order = np.argsort(at, kind="stable")
+    at, step, k = at[order], step[order], k[order]
+    total = np.cumsum(count[k])
+    ends = np.flatnonzero(np.append(doc[at[1:]] != doc[at[:-1]], True)) + 1 if len(at) else np.zeros(0, int)
+    begin = 0
+    while begin < len(at):  # whole documents
+        held = total[begin - 1] if begin else 0
+        fit = ends[: np.searchsorted(total[ends - 1], held + most_steps, side="right")]
+        end = fit[-1] if len(fit) and fit[-1] > begin else ends[np.searchsorted(ends, begin, side="right")]
+        n = count[k[begin:end]]
+        entry = np.repeat(first[k[begin:end]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        yield from chains(segment, items, np.repeat(at[begin:end], n), np.repeat(step[begin:end], n), item_at[entry], item_step[entry], min_words, gap)
+        begin = end
+
+
+def chains(
+    segment: Segment, items: Items, at: np.ndarray, step: np.ndarray, item_at: np.ndarray, item_step: np.ndarray, min_words: int, gap: int
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """The longest chains of steps from (at, item_at) to (at + step, item_at + item_step)."""
+    span = min_words + (min_words - 1) * gap  # min_words of a chain lie in one of two overlapping windows
+    live = np.zeros(len(at), bool)
+    for shift in (0, span):
+        _, window, size = np.unique((at + shift) // (2 * span) * len(items.ids) + items.item_of[item_at], return_inverse=True, return_counts=True)
+        live |= (size >= min_words - 1)[window]
+    at, step, item_at, item_step = at[live], step[live], item_at[live], item_step[live]
+    width = len(items.item_of)
+    nodes, ends = np.unique(np.concatenate([at * width + item_at, (at + step) * width + item_at + item_step]), return_inverse=True)
+    if not len(nodes):
+        return
+    source, target = ends[: len(at)], ends[len(at) :]
+    order = np.lexsort((step + item_step, source))  # of equally long chains the one with the smaller break
+    source, target, wide = source[order], target[order], (step + item_step)[order]
+    bounds = np.searchsorted(source, np.arange(len(nodes) + 1))
+    open_steps = np.bincount(target, minlength=len(nodes))
+    head, length = np.arange(len(nodes)), np.ones(len(nodes), np.int64)
+    front, n = np.flatnonzero(open_steps == 0), 1
+    while len(front):  # layer n: words at which the longest chain has n words
+        m = bounds[front + 1] - bounds[front]
+        edge = np.repeat(bounds[front] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+        np.subtract.at(open_steps, target[edge], 1)
+        edge = edge[open_steps[target[edge]] == 0]
+        edge = edge[np.lexsort((wide[edge], target[edge]))]
+        edge = edge[np.append(True, target[edge][1:] != target[edge][:-1])] if len(edge) else edge
+        front, n = target[edge], n + 1
+        head[front], length[front] = head[source[edge]], n
+    order = np.lexsort((-length, head))
+    best = order[np.append(True, head[order][1:] != head[order][:-1])]
+    start, of_item = np.divmod(nodes[head[best]], width)
+    last, last_item = np.divmod(nodes[best], width)
+    n = length[best]
+    good = (n >= min_words) & ((last - start >= n) | (last_item - of_item >= n))
+    start, of_item, n = start[good], of_item[good], n[good]
+    doc, item = np.searchsorted(segment.starts, start, side="right") - 1, items.item_of[of_item]
+    yield doc, item, n, start - segment.starts[doc], of_item - items.starts[item]
+
+
 def runs(segment: Segment, items: Items, min_words: int, near_gap: int) -> Iterator[tuple[np.ndarray, int, str, np.ndarray, np.ndarray, np.ndarray]]:
     """(document numbers, item number, kind, words, position in the document, position in the item)."""
     by_item: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = defaultdict(list)
@@ -99,28 +194,20 @@ def runs(segment: Segment, items: Items, min_words: int, near_gap: int) -> Itera
         for item, at in places:
             left, right = segment.extended(found, items.width, items.words[item], at)
             length = items.width + left + right
-            keep = slice(None) if near_gap else length >= min_words
-            if near_gap or keep.any():
+            keep = length >= min_words
+            if keep.any():
                 by_item[item].append((found[keep] - left[keep], at - left[keep], length[keep]))
     for item, parts in by_item.items():
         start, of_item, length = (np.concatenate(x) for x in zip(*parts))
         table = np.unique(np.stack([start, of_item, length], 1), axis=0)
         start, of_item, length = table.T
         doc = np.searchsorted(segment.starts, start, side="right") - 1
-        full = length >= min_words
-        if full.any():
-            yield doc[full], item, "phrase", length[full], start[full] - segment.starts[doc[full]], of_item[full]
-        if near_gap and len(start) > 1:
-            # neighbouring runs of one document with few words between them, in text and item alike
-            gap, item_gap = start[1:] - (start + length)[:-1], of_item[1:] - (of_item + length)[:-1]
-            chained = (doc[1:] == doc[:-1]) & (gap >= 0) & (gap <= near_gap) & (item_gap >= 0) & (item_gap <= near_gap)
-            group = np.concatenate([[0], np.cumsum(~chained)])
-            total = np.bincount(group, weights=length).astype(np.int64)
-            head = np.searchsorted(group, np.arange(len(total)))
-            near = (total >= min_words) & (np.bincount(group) > 1)
-            h = head[near]
-            if len(h):
-                yield doc[h], item, "near", total[near], start[h] - segment.starts[doc[h]], of_item[h]
+        yield doc, item, "phrase", length, start - segment.starts[doc], of_item
+    if near_gap:
+        for doc, item, length, start, of_item in broken_runs(segment, items, min_words, near_gap):
+            for i in np.unique(item):
+                of = item == i
+                yield doc[of], i, "near", length[of], start[of], of_item[of]
 
 
 def leaked_passages(
@@ -141,7 +228,7 @@ def leaked_passages(
     Words are maximal runs of a-z and 0-9 after lower-casing.  ``phrase``: at
     least ``min_words`` words in a row are equal.  ``near``: such a row is
     broken by at most ``near_gap`` words at a place, on either side (0: not
-    sought).  Positions count words from 0.  Items with fewer words match
+    sought), at any number of places.  Positions count words from 0.  Items with fewer words match
     nothing.  Rows with null key or null text are skipped, rows that repeat
     give one match, other columns are ignored, empty tables give no rows.
 

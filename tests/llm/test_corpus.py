@@ -64,6 +64,35 @@ def test_near_matches(spark):
     assert {(r["doc_id"], r["kind"], r["words"]) for r in found} == {(1, "near", 19), (3, "phrase", 20)}
 
 
+def longest_chain(doc, item, gap):
+    best = {}
+    for p, w in enumerate(doc):
+        for q, x in enumerate(item):
+            if w == x:
+                best[p, q] = 1 + max((best.get((p - i, q - j), 0) for i in range(1, gap + 2) for j in range(1, gap + 2)), default=0)
+    return max(best.values(), default=0)
+
+
+def test_near_matches_agree_with_brute_force_however_often_they_are_broken(spark):
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(300)] + ["the", "of"] * 30
+    tests = [(i, " ".join(rng.choices(words, k=rng.randint(12, 60)))) for i in range(20)]
+    docs = [(0, " ".join([*tests[0][1].split()[2:8], "zz", *tests[0][1].split()[9:15]]))]
+    for d in range(1, 161):
+        own = tests[d % 20][1].split()
+        every, out = 3 + d % 8, []
+        for k, w in enumerate(own[: rng.randint(10, 60)]):
+            out += [w] if k % every != every - 1 else rng.choice([[], ["zz"], [w, "zz"], ["zz", "yy"], ["zz", "yy", "xx"]])
+        docs.append((d, " ".join(rng.choices(words, k=rng.randint(0, 40)) + out + rng.choices(words, k=rng.randint(0, 40)))))
+    want = {(d, i): n for d, t in docs for i, x in tests if (n := longest_chain(t.split(), x.split(), 2)) >= 12}
+    for segment in (2_000_000, 100):
+        got = {}
+        for r in leakage.leaked_passages(documents(spark, docs), items(spark, tests), segment_words=segment, block_items=7).collect():
+            got[r["doc_id"], r["item_id"]] = max(got.get((r["doc_id"], r["item_id"]), 0), r["words"])
+            assert docs[r["doc_id"]][1].split()[r["doc_word"]] == tests[r["item_id"]][1].split()[r["item_word"]]
+        assert got == want and len(want) > 80 and want[0, 0] == 12
+
+
 def test_no_match_reaches_over_documents_nulls_and_none(spark):
     phrase = " ".join(f"b{i}" for i in range(12))
     half = phrase.split()
