@@ -3,8 +3,10 @@
 Method: labelled exemplars of residue stand in an inverted index from term to
 exemplar.  A passage window (a line for messages, a paragraph for filler)
 retrieves the exemplars that share terms with it; its containment is the share
-of its TF-IDF mass that the best exemplar covers.  A placeholder is a passage
-of one term: its shape.  Document frequencies come from all documents.
+of its TF-IDF mass that the best exemplar covers.  The window of a placeholder
+is what stands in its marks: the term of its shape and, where the marks also have
+other uses, a term for each word between them.  Document frequencies come from
+all documents.
 """
 
 from __future__ import annotations
@@ -97,7 +99,19 @@ PLACEHOLDER = re.compile(
     """,
     re.VERBOSE | re.IGNORECASE,
 )
-OPENERS = ("{", "[", "<", "%", "@@", "__", "XX_", "&lt;")
+# Marks that hold a placeholder only if the words between them name what is to be filled in.
+MARKS = {
+    "{}": re.compile(r"(?<![{$#%\w])\{ ?([A-Za-z][\w -]{0,60})\}(?!\})"),
+    "[]": re.compile(r"(?<![\[\w!])\[ ?([A-Za-z][\w -]{0,60})\](?![\](\[:])"),
+    "<>": re.compile(r"(?<![<\w])<(?!(?:title|address|time|data)>)([A-Za-z][\w -]{0,60})>(?!>)", re.IGNORECASE),
+}
+BLANK = re.compile(r"\w:[ \t]*(?:_{3,}|\.{5,})")
+FIELDS = (
+    "name first last full middle sur user customer client company employer organisation organization recipient sender author contact person date day month year time"
+    " address street city town country state zip postcode phone telephone mobile number email mail fax title position department amount price total signature subject"
+    " your insert enter here vorname nachname datum firma anschrift ort nom prénom entreprise adresse ville nombre apellido fecha empresa dirección ciudad"
+).split()
+OPENERS = ("{", "[", "<", "%", "@@", "__", "XX_", "&lt;", ".....")
 FENCED = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*|\Z)", re.DOTALL | re.MULTILINE)
 QUOTED = re.compile(r"``[^\n]*?``|`[^`\n]*`")
 WORD = re.compile(r"[^\W\d_]+")
@@ -105,6 +119,24 @@ PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 MENU = re.compile(r" [|»·›/•>] ")
 
 
+def placeholder_windows(text: str) -> Iterator[list[str]]:
+    """The terms of every passage that may be a placeholder; they are no words, so they don't mix with those."""
+    if not any(o in text for o in OPENERS):
+        return
+    if PLACEHOLDER.search(text):
+        yield ["shape:marked"]
+    if BLANK.search(text):
+        yield ["shape:blank"]
+    for mark, pattern in MARKS.items():
+        if mark[0] in text:
+            for m in pattern.finditer(text):
+                yield [f"shape:{mark}", *(f"field:{w}" for w in WORD.findall(m[1].lower().replace("_", " ")))]
+
+
+#: Labelled exemplars of placeholders, as terms.
+PLACEHOLDERS = [["shape:marked"], ["shape:blank"], *([f"shape:{m}", *(f"field:{w}" for w in FIELDS)] for m in MARKS)]
+
+
 @dataclass
 class Index:
     """Inverted index of the exemplars, with the weights of their terms."""
@@ -122,6 +154,10 @@ class Index:
                 for term in set(terms(t)):
                     postings.setdefault(term, []).append(len(labels))
                 labels.append(label)
+        for window in PLACEHOLDERS:
+            for term in window:
+                postings.setdefault(term, []).append(len(labels))
+            labels.append("placeholder")
         weight = {t: min(cap, 0.1 + math.log((documents + 1) / (frequencies.get(t, 0) + 1))) for t in postings}
         return cls(postings, labels, weight, cap)
 
@@ -147,6 +183,7 @@ def terms(text: str) -> list[str]:
 
 
 VOCABULARY = frozenset(t for texts in EXEMPLARS.values() for x in texts for t in terms(x))
+SHAPED = frozenset(x for w in PLACEHOLDERS for x in w)
 FILLER = frozenset(t for x in EXEMPLARS["filler"] for t in terms(x))
 
 
@@ -186,11 +223,11 @@ def is_filler(paragraph: str, index: Index, threshold: float) -> bool:
     )
 
 
-def residue_kinds(text: str, index: Index, message: float, filler: float) -> list[str]:
+def residue_kinds(text: str, index: Index, message: float, filler: float, placeholder: float = 0.75) -> list[str]:
     """Labels of the residue in one text."""
     kinds = []
     plain = QUOTED.sub(" ", FENCED.sub("\n\n", text)) if "`" in text or "~~~" in text else text
-    if any(o in plain for o in OPENERS) and PLACEHOLDER.search(plain):
+    if any(index.containment(w, ("placeholder",)) >= placeholder for w in placeholder_windows(plain)):
         kinds.append("placeholder")
     if any(is_filler(p, index, filler) for p in PARAGRAPH.split(plain)):
         kinds.append("filler")
@@ -212,6 +249,7 @@ def exemplar_frequencies(df: DataFrame, key: str, text: str) -> tuple[dict[str,
             for t in b.column(0).to_pylist():
                 n += 1
                 seen.update(VOCABULARY.intersection(WORD.findall(t.lower())))
+                seen.update(SHAPED.intersection(x for w in placeholder_windows(t) for x in w))
         cells = [*seen.items(), ("", n)]
         yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.int64())], ["term", "n"])
 
@@ -221,12 +259,12 @@ def exemplar_frequencies(df: DataFrame, key: str, text: str) -> tuple[dict[str,
 
 
 def template_residue(
-    df: DataFrame, key: str = "doc_id", text: str = "text", *, message: float = 0.6, filler: float = 0.75, weight_cap: float = 6.0
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, message: float = 0.6, filler: float = 0.75, placeholder: float = 0.75, weight_cap: float = 6.0
 ) -> DataFrame:
     """(key, kind) for every document with residue; ``kind``: placeholder, filler, error, script.
 
-    ``message`` and ``filler`` are the least containments of a message line and
-    of a filler paragraph; ``weight_cap`` bounds the weight of a term, and is
+    ``message``, ``filler`` and ``placeholder`` are the least containments of a
+    message line, a filler paragraph and a placeholder; ``weight_cap`` bounds the weight of a term, and is
     the weight of terms that no exemplar has.  Code in fences or backticks is
     ignored.  Null and blank texts and null keys give no rows; rows that repeat
     whole count once; other columns are ignored; an empty table gives no rows.
@@ -237,7 +275,7 @@ def template_residue(
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         for k, t in zip(keys, texts):
             if k is not None and t:
-                for kind in residue_kinds(t, index, message, filler):
+                for kind in residue_kinds(t, index, message, filler, placeholder):
                     yield k, kind
 
     kind = df.schema[key].dataType.simpleString()

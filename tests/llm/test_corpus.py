@@ -138,6 +138,14 @@ def test_residue_kinds(spark):
     assert got == want
 
 
+def test_placeholders_are_scored_by_shape_and_words():
+    index = residue.Index.build({"shape:[]": 9, "shape:<>": 9}, 100, 6.0)
+    for t in ("Dear {name}, it is ready.", "The [Company Name] pump.", "On [DATE] it closed.", "Ask <name> first.", "Name: ______", "City: ........", "Write to {first_name} soon.", "An [COMPANY_NAME] pump."):
+        assert residue.residue_kinds(t, index, 0.6, 0.75) == ["placeholder"], t
+    for t in ("A set {a} of parts.", "He [sic] left.", "<p>The pump</p>", "<title>The pump</title>", "See [Name](http://a.b).", "- [x] done", "[table 3] shows", "Wait: ...", "The `{name}` mark.", "[pump tower] is"):
+        assert "placeholder" not in residue.residue_kinds(t, index, 0.6, 0.75), t
+
+
 def test_residue_of_nothing(spark):
     assert residue.template_residue(documents(spark, [])).count() == 0
 
