@@ -271,3 +271,12 @@ def test_pack_by_a_public_tokenizer(spark):
     public = pytest.importorskip("public_tokenizers")
     packed = packing.pack(documents(spark, [(1, "Hello world, this is text."), (2, "<|endoftext|>")]), capacity=480, tokenizer_file=public.path("byte_bpe_50k.json"))
     assert {r["doc_id"]: r["doc_tokens"] for r in packed.collect()} == {1: 7, 2: 7}
+
+
+def test_gap_to_the_bound_with_the_production_parameters():
+    for seed in (1, 6, 10):
+        rng = random.Random(seed)
+        sizes = [min(480, max(1, int(rng.lognormvariate(4.9, 0.7)))) for _ in range(4000)]
+        bound = packing.lower_bound(np.bincount(sizes, minlength=481), 480)
+        found = len(packing.complete_bins(sizes, 480))
+        assert bound <= found <= bound + 2 and found < len(packing.best_fit_decreasing(sizes, 480))
