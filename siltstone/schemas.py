@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-#: Keys that a document's metadata may carry; an absent key is null, and null and false read alike.
+# Keys that a document's metadata may carry; an absent key is null, and null and false read alike.
 METADATA = T.StructType(
     [
         T.StructField("source", T.StringType()),
@@ -34,7 +34,7 @@ STORED = T.StructType(
     ]
 )
 
-#: Flags that a source label shows, in their order.
+# Flags that a source label shows, in their order.
 LABEL_FLAGS = ("table_md", "table_json", "table_row", "chartqa", "ocr")
 
 # Sizes that decide what a question retrieves.

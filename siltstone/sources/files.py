@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.formatting import file_kind
@@ -90,9 +90,10 @@ def pdfs(files: DataFrame, reader: PdfReader) -> DataFrame:
     as_json = flat.select("path", "n", F.lit(1).alias("part"), tables.json(F.col("head"), F.col("rows")).alias("content"), metadata(source=source, page=page, table_json=F.lit(True)).alias("metadata"))
     rows = tables.row_sentences(flat, "head", "rows", keep=("path", "n", "page"))
     as_rows = rows.select("path", "n", (F.col("row_ix") + 2).alias("part"), F.col("sentence").alias("content"), metadata(source=source, page=page, table_row=F.lit(True)).alias("metadata"))
-    # a file's tables come after its text; numbers rise, and may leave gaps
-    number = (F.col("n") * 100_000 + F.col("part") + 1).cast("int").alias("doc_seq")
-    every = as_md.unionByName(as_json).unionByName(as_rows).select("path", number, "content", "metadata", F.lit(None).cast("string").alias("error"))
+    # a file's tables come after its text, one after the other, whatever their length
+    every = as_md.unionByName(as_json).unionByName(as_rows)
+    number = F.row_number().over(Window.partitionBy("path").orderBy("n", "part")).alias("doc_seq")
+    every = every.select("path", number, "content", "metadata", F.lit(None).cast("string").alias("error"))
     return text.unionByName(every)
 
 
