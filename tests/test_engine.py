@@ -3,7 +3,7 @@ import sys
 import pytest
 from pyspark import cloudpickle
 
-from siltstone.engine import NOT_READY, Engine
+from siltstone.engine import ANSWER, NOT_READY, Engine
 from siltstone.sources.files import load_folder
 from siltstone.sources.store import Store, latest, numbered
 from siltstone.streaming.ingest import stream_texts
@@ -93,7 +93,7 @@ def test_ingest_connect_ask_chat(spark, folder, tmp_path):
     engine.show_context = True
     turns = engine.chat("red pump water", history)
     assert [t["role"] for t in turns] == ["user", "assistant", "assistant"]
-    assert "a.md" in turns[1]["content"] and turns[2]["content"]
+    assert "a.md" in turns[1]["content"] and turns[2]["content"].startswith(ANSWER)
     asked = spark.createDataFrame([(1, "valves"), (2, " "), (3, "fan air")], "query_id long, question string")
     answers = {r["query_id"]: r["prompt"] for r in engine.ask(asked).collect()}
     assert set(answers) == {1, 3}
