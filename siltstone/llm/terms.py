@@ -1,18 +1,26 @@
 """Problem 5: occurrences and record counts of every term, with a mark on the rare and the common.
 
-Method: last-seen counters.  Records are hash-partitioned by id and read in id
-order, so every term keeps just three numbers - occurrences, records, and the
-last record it was seen in - and no set of records.  A record delivered twice
-stands next to its copy and is skipped.  The partial counters of a task are
-then hash-partitioned by term and added up.
+Method: last-seen counters.  Tokens are read in runs, record by record, and every
+term keeps just three numbers - occurrences, records, and the last record it
+was seen in - and no set of records.  A term counts a record where that is not
+the one it was last seen in.  The counters of a task are then hash-partitioned
+by term and added up.
+
+A record may be delivered several times, and then counts once.  Only ids are
+shuffled to find those that repeat; a bit table of them, of fixed size, tells a
+task which of its records can't be among them.  Those are counted where they are
+read.  The others, few of them by the collision of their bits, are
+hash-partitioned and ordered by record, so that copies stand next to each other.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,52 +31,131 @@ from siltstone.session import materialize
 TOTAL = ""
 
 
-def partial_counters(df: DataFrame, key: str, text: str, min_letters: int, flush_terms: int) -> DataFrame:
-    """Partial (term, occurrences, records) rows of one pass over the records in key order."""
-    out = pa.schema([("term", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
-    pattern = re.compile("[a-z]{%d,}" % min_letters)
+class LastSeen:
+    """Counters of terms: occurrences, records, and the number of the record last seen."""
+
+    def __init__(self) -> None:
+        self.terms: dict[str, int] = {}
+        self.occurrences = np.zeros(1024, np.int64)
+        self.records = np.zeros(1024, np.int64)
+        self.last = np.full(1024, -1, np.int64)
+        self.total = 0
+
+    def read(self, runs: list[list[str]], first: int) -> None:
+        """Count the tokens of some records, numbered from ``first`` on; the first may go on where the last call ended."""
+        known = self.terms
+        number = np.fromiter((known.setdefault(t, len(known)) for t in chain.from_iterable(runs)), np.int64, sum(map(len, runs)))
+        if len(known) > len(self.last):
+            more = max(len(known), 2 * len(self.last)) - len(self.last)
+            self.occurrences = np.append(self.occurrences, np.zeros(more, np.int64))
+            self.records = np.append(self.records, np.zeros(more, np.int64))
+            self.last = np.append(self.last, np.full(more, -1, np.int64))
+        if not len(number):
+            return
+        self.occurrences[: len(known)] += np.bincount(number, minlength=len(known))
+        record = np.repeat(np.arange(first, first + len(runs)), [len(r) for r in runs])
+        order = np.argsort(number, kind="stable")  # tokens of a term, in the order of the records
+        number, record = number[order], record[order]
+        opens = np.append(True, number[1:] != number[:-1])
+        before = np.append(-1, record[:-1])
+        before[opens] = self.last[number[opens]]
+        self.records[: len(known)] += np.bincount(number[before != record], minlength=len(known))
+        self.last[number] = record  # the last one written is the last one seen
+
+    def dump(self) -> pa.RecordBatch:
+        n = len(self.terms)
+        cells = (
+            pa.array([*self.terms, TOTAL], pa.string()),
+            pa.array(np.append(self.occurrences[:n], 0)),
+            pa.array(np.append(self.records[:n], self.total)),
+        )
+        self.__init__()
+        return pa.RecordBatch.from_arrays(list(cells), ["term", "occurrences", "records"])
+
+
+def counters(pattern: re.Pattern, flush_terms: int, skip: RepeatedIds | None, chunk: int = 1024):
+    """The counting of one task; with ``skip``, of the records that can't be among the repeated, else of records in key order."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counters: dict[str, list] = {}
-        last, total = None, 0
-
-        def dump() -> pa.RecordBatch:
-            names = [*counters, TOTAL]
-            cells = [*counters.values(), [0, total, None]]
-            counters.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, pa.string()), pa.array([c[0] for c in cells], pa.int64()), pa.array([c[1] for c in cells], pa.int64())], schema=out
-            )
-
+        seen = LastSeen()
+        number, last = -1, None
         for b in batches:
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if k == last:
-                    continue
-                last = k
-                total += 1
-                for term, n in Counter(pattern.findall(t.lower())).items():
-                    c = counters.get(term)
-                    if c is None:
-                        counters[term] = [n, 1, k]
-                    else:
-                        c[0] += n
-                        if c[2] != k:
-                            c[1] += 1
-                            c[2] = k
-                if len(counters) > flush_terms:  # between two records, so no last-seen mark is cut
-                    yield dump()
-                    total = 0
-        yield dump()
+            keep = b if skip is None else b.filter(pa.array(~skip.possible(b.column(2).to_numpy())))
+            for at in range(0, keep.num_rows, chunk):
+                part = keep.slice(at, chunk)
+                runs, first = [], number + 1
+                for k, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    if skip is None and k == last:
+                        continue  # a copy of the record before
+                    last = k
+                    number += 1
+                    runs.append(pattern.findall(t.lower()))
+                seen.total += len(runs)
+                seen.read(runs, first)
+                if len(seen.terms) > flush_terms:  # between two records, so no last-seen mark is cut
+                    yield seen.dump()
+        yield seen.dump()
+
+    return count
+
+
+class RepeatedIds:
+    """A bit table of fixed size: tells for certain of most ids that they don't repeat."""
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @staticmethod
+    def slots(hashes: np.ndarray, n_bits: int) -> np.ndarray:
+        """Two places in the table for each hash."""
+        h = hashes.view(np.uint64)
+        return np.stack([h % np.uint64(n_bits), (h >> np.uint64(32)) % np.uint64(n_bits)]).astype(np.int64)
+
+    def possible(self, hashes: np.ndarray) -> np.ndarray:
+        return self.bits[self.slots(hashes, len(self.bits))].all(0) if len(hashes) else np.zeros(0, bool)
+
+    @classmethod
+    def of(cls, repeated: DataFrame, n_bits: int) -> RepeatedIds:
+        """The table of the hashes ``h``; tasks make parts of it, which are put together before they go to the driver."""
+        chunk = min(n_bits, 1 << 16)
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bits = np.zeros(n_bits, bool)
+            for b in batches:
+                bits[cls.slots(b.column(0).to_numpy(), n_bits).ravel()] = True
+            for part, x in enumerate(bits.reshape(-1, chunk)):
+                if x.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([zlib.compress(np.packbits(x).tobytes(), 1)], pa.binary())], ["part", "bits"])
+
+        def unite(t: pa.Table) -> pa.Table:
+            every = np.stack([np.frombuffer(zlib.decompress(x), np.uint8) for x in t.column("bits").to_pylist()])
+            return pa.table({"part": t.column("part").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(every, 0).tobytes()], pa.binary())})
+
+        bits = np.zeros(n_bits, bool)
+        parts = repeated.select("h").mapInArrow(mark, "part int, bits binary").groupBy("part").applyInArrow(unite, "part int, bits binary")
+        for part, x in parts.toLocalIterator():
+            bits[part * chunk : (part + 1) * chunk] = np.unpackbits(np.frombuffer(x, np.uint8))
+        return cls(bits)
+
+
+def partial_counters(df: DataFrame, key: str, text: str, min_letters: int, flush_terms: int, table_bits: int) -> DataFrame:
+    """Partial (term, occurrences, records) rows of every task."""
+    pattern = re.compile("[a-z]{%d,}" % min_letters)
+    schema = "term string, occurrences long, records long"
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.xxhash64(F.col(key)).alias("h")).where("k is not null and t is not null")
+    several = rows.groupBy("h").count().where("count > 1")
+    repeated = RepeatedIds.of(several, 1 << table_bits)
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A key that repeats within a batch is sent once, so that a hot key fills no partition."""
+        """What may repeat; an id that does so within a batch is sent once, so that a hot one fills no partition."""
         for b in batches:
+            b = b.filter(pa.array(repeated.possible(b.column(2).to_numpy())))
             first = dict(zip(reversed(b.column(0).to_pylist()), range(b.num_rows - 1, -1, -1)))
-            yield b if len(first) == b.num_rows else b.take(pa.array(sorted(first.values()), pa.int64()))
+            yield b.take(pa.array(sorted(first.values()), pa.int64()))
 
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-    placed = rows.mapInArrow(thin, rows.schema).repartition("k").sortWithinPartitions("k")
-    return placed.mapInArrow(count, "term string, occurrences long, records long")
+    single = rows.mapInArrow(counters(pattern, flush_terms, repeated), schema)
+    copies = rows.mapInArrow(thin, rows.schema).repartition("k").sortWithinPartitions("k")
+    return single.unionByName(copies.mapInArrow(counters(pattern, flush_terms, None), schema))
 
 
 def term_frequencies(
@@ -80,6 +167,7 @@ def term_frequencies(
     rare_records: int = 2,
     common_share: float = 0.2,
     flush_terms: int = 200_000,
+    table_bits: int = 22,
 ) -> DataFrame:
     """(term, occurrences, records, mark) for every term of the collection.
 
@@ -89,9 +177,10 @@ def term_frequencies(
     rare) or null.  Rows with a null key or null text don't count; blank text
     counts as a record without terms; rows with the same key count once; an
     empty table gives no rows.  Other columns are ignored, whatever their names.
-    ``flush_terms`` bounds a task's dictionary and doesn't change the result.
+    ``flush_terms`` bounds a task's dictionary, and 2**``table_bits`` is the size
+    of the table of repeated ids; neither changes the result.
     """
-    parts = partial_counters(df, key, text, min_letters, flush_terms)
+    parts = partial_counters(df, key, text, min_letters, flush_terms, table_bits)
     sums = materialize(parts.groupBy("term").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records")), "terms")
     total = sums.where(F.col("term") == TOTAL).agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0]
     mark = F.when(F.col("records") <= rare_records, "rare").when(F.col("records") > F.lit(total) * F.lit(common_share), "common")

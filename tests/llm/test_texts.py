@@ -183,6 +183,24 @@ def test_terms_of_nothing(spark):
     assert terms.term_frequencies(records(spark, [(1, None), (2, "1 2"), (None, "abc")])).count() == 0
 
 
+def test_a_term_counts_a_record_unless_it_was_last_seen_there():
+    seen = terms.LastSeen()
+    seen.read([["a", "b", "a"], ["a"]], 0)
+    seen.read([["a", "c", "b"], ["b", "c"]], 1)  # record 1 goes on
+    got = {t: (int(seen.occurrences[k]), int(seen.records[k]), int(seen.last[k])) for t, k in seen.terms.items()}
+    assert got == {"a": (4, 2, 1), "b": (3, 3, 2), "c": (2, 2, 2)}
+    assert seen.dump().num_rows == 4 and not seen.terms
+
+
+def test_a_third_of_all_rows_are_copies_in_many_parts(spark):
+    rows = [(7, "hot hot thing")] * 300 + [(i, f"word{chr(97 + i % 26)} every") for i in range(100, 700)] + [(i, f"word{chr(97 + i % 26)} every") for i in range(100, 120)]
+    df = records(spark, rows).repartition(7)
+    for bits in (4, 22):  # however full the table of repeated ids
+        got = {r["term"]: (r["occurrences"], r["records"]) for r in terms.term_frequencies(df, table_bits=bits).collect()}
+        assert got["hot"] == (2, 1) and got["thing"] == (1, 1) and got["every"] == (600, 600)
+        assert sum(n for t, (n, _) in got.items() if t.startswith("word")) == 600
+
+
 # --- packing
 
 
