@@ -237,7 +237,7 @@ def least_bins(sizes, capacity):
 @settings(max_examples=80, deadline=None)
 @given(st.lists(st.integers(3, 20), min_size=1, max_size=9))
 def test_small_packings_are_optimal(sizes):
-    assert len(packing.complete_bins(sizes, 20, width=8, steps=2000, nodes=5000)) == least_bins(sizes, 20)
+    assert len(packing.complete_bins(sizes, 20, nodes=None)) == least_bins(sizes, 20)
 
 
 def test_bin_completion_beats_best_fit():
@@ -297,4 +297,41 @@ def test_gap_to_the_bound_with_the_production_parameters():
         sizes = [min(480, max(1, int(rng.lognormvariate(4.9, 0.7)))) for _ in range(4000)]
         bound = packing.lower_bound(np.bincount(sizes, minlength=481), 480)
         found = len(packing.complete_bins(sizes, 480))
-        assert bound <= found <= bound + 2 and found < len(packing.best_fit_decreasing(sizes, 480))
+        assert bound <= found <= bound + 1 and found <= len(packing.best_fit_decreasing(sizes, 480))
+
+
+def triplets(n, capacity, rng):
+    """Items that fill n containers exactly, three in each."""
+    out = []
+    while len(out) < 3 * n:
+        a = rng.randint(int(0.38 * capacity), int(0.49 * capacity))
+        b = rng.randint((capacity - a) // 4 + 1, (capacity - a) // 2)
+        if b >= capacity // 4 and capacity - a - b >= capacity // 4:
+            out += [a, b, capacity - a - b]
+    return out
+
+
+def test_the_exact_search_packs_triplets():
+    rng = random.Random(3)
+    for _ in range(8):
+        sizes = triplets(20, 1000, rng)
+        assert len(packing.best_fit_decreasing(sizes, 1000)) > 20
+        bins = packing.complete_bins(sizes, 1000, nodes=None)
+        assert len(bins) == 20 and sorted(s for b in bins for s in b) == sorted(sizes)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 9), max_size=9), st.integers(1, 20))
+def test_fillings_leave_out_only_dominated_ones(sizes, room):
+    have = np.bincount(sizes, minlength=21).tolist()
+    kept = list(packing.fillings(have, room, room))
+    for mask in range(1 << len(sizes)):
+        f = tuple(s for i, s in enumerate(sorted(sizes, reverse=True)) if mask >> i & 1)
+        if sum(f) <= room:
+            assert any(packing.dominated(g, f) for g in kept)
+
+
+def test_every_shard_is_a_task(spark):
+    packed = packing.pack(documents(spark, [(i, "w " * (i % 19 + 1)) for i in range(300)]), capacity=20, shard_items=32, nodes=None)
+    assert packed.rdd.getNumPartitions() == 10
+    assert {r["container_id"] >> 32 for r in packed.collect()} == set(range(10))
