@@ -4,7 +4,7 @@ Method: pointer doubling.  Every place where a piece may begin is joined to the
 place where the next piece must begin (farthest legal cut, less the overlap).
 Squaring that successor table yields the places reached in 1, 2, 4, ... steps;
 what is reached from the start of a section are its cuts, found for all
-sections of a batch at once in logarithmically many rounds.
+sections of a table at once in logarithmically many rounds.
 """
 
 from __future__ import annotations
@@ -126,7 +126,7 @@ def cuts(texts: list[str], size: int, overlap: int) -> Iterator[list[tuple[int,
         yield list(zip((flat[own] - b).tolist(), (cut[own] - b).tolist()))
 
 
-def split_oversized(df: DataFrame, key: str = "rec_id", text: str = "page_content", *, size: int = 800, overlap: int = 80) -> DataFrame:
+def split_oversized(df: DataFrame, key: str = "rec_id", text: str = "page_content", *, size: int = 800, overlap: int = 80, table_chars: int = 4_000_000) -> DataFrame:
     """(key, section_no, piece_no, piece_start, piece_end, piece) of every section above ``size`` characters.
 
     Positions are code points within the record's text; a piece has at most
@@ -135,11 +135,19 @@ def split_oversized(df: DataFrame, key: str = "rec_id", text: str = "page_conten
     then sentence ends (where the piece stays at least half full), then ends of
     words; only a word that leaves no such place is cut inside, with the full
     overlap.  Null and blank texts, and null keys, give no rows; rows that
-    repeat whole count once; other columns are ignored.
+    repeat whole count once; other columns are ignored.  ``table_chars`` bounds
+    the text whose successors stand in one table, but for its last section.
     """
 
     def pieces(keys: list, texts: list) -> Iterator[tuple]:
-        where, parts, seen = [], [], set()
+        where, parts, seen, held = [], [], set(), 0
+
+        def cut() -> Iterator[tuple]:
+            for (k, number, a), part, found in zip(where, parts, cuts(parts, size, overlap)):
+                for i, (b, e) in enumerate(found):
+                    e = b + len(part[b:e].rstrip(BLANKS))
+                    yield k, number, i, a + b, a + e, part[b:e]
+
         for k, t in zip(keys, texts):
             if k is None or t is None or len(t) <= size or (k, t) in seen:
                 continue
@@ -148,10 +156,11 @@ def split_oversized(df: DataFrame, key: str = "rec_id", text: str = "page_conten
                 if b - a > size:
                     where.append((k, number, a))
                     parts.append(t[a:b])
-        for (k, number, a), part, found in zip(where, parts, cuts(parts, size, overlap)):
-            for i, (b, e) in enumerate(found):
-                e = b + len(part[b:e].rstrip(BLANKS))
-                yield k, number, i, a + b, a + e, part[b:e]
+                    held += b - a
+                    if held >= table_chars:
+                        yield from cut()
+                        where, parts, held = [], [], 0
+        yield from cut()
 
     kind = df.schema[key].dataType.simpleString()
     rows = map_rows(df, f"{key} {kind}, section_no int, piece_no int, piece_start int, piece_end int, piece string", pieces, key, text)

@@ -99,6 +99,27 @@ def test_split_oversized_table(spark):
     assert splitting.split_oversized(records(spark, [])).count() == 0
 
 
+def test_cuts_of_the_tables_are_the_greedy_ones(spark, tiny):
+    df = spark.read.parquet(f"{tiny}/doc_records.parquet")
+    got: dict = {}
+    for r in splitting.split_oversized(df).collect():
+        got.setdefault((r["rec_id"], r["section_no"]), []).append((r["piece_no"], r["piece_start"], r["piece_end"]))
+    want = {}
+    for r in df.select("rec_id", "page_content").where("page_content is not null").collect():
+        for number, a, b in splitting.sections(r["page_content"]):
+            part = r["page_content"][a:b]
+            if b - a > 800 and all(len(w) <= 720 for w in part.split()):
+                want[r["rec_id"], number] = [(i, a + x, a + x + len(part[x:y].rstrip(BLANKS))) for i, (x, y) in enumerate(greedy(part, 800, 80))]
+    assert len(want) > 20
+    assert {k: sorted(got[k]) for k in want} == want
+
+
+def test_small_tables_of_successors_give_the_same_cuts(spark):
+    rows = [(i, "word and more. " * (60 + i)) for i in range(40)]
+    whole, cut = (splitting.split_oversized(records(spark, rows), table_chars=n) for n in (4_000_000, 3000))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, cut.collect()))
+
+
 # --- statistics
 
 PROSE = {
