@@ -17,7 +17,7 @@ def p1_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return neighbours.similar_pairs(neighbours.nearest_vectors(table(spark, d, "text_store"), least_cosine=0.9), 0.9)
+    return neighbours.similar_pairs(p1_neighbours(spark, d), 0.9)
 
 
 def near_records(spark: SparkSession, d: str) -> neardup.NearDuplicates:
@@ -122,6 +122,7 @@ USABLE_SQL = """
 SQL: dict[str, str] = {
     "p1_found": f"""with {USABLE_SQL} select distinct least(vec_id, neighbour_id) as vec_a, greatest(vec_id, neighbour_id) as vec_b
         from n where cosine >= 0.9""",
+    "p1_neighbours": f"with {USABLE_SQL} select vec_id, rank, neighbour_id, cosine from n",
     "p2_found": """
         with r as (select rec_id, regexp_extract_all(lower(any_value(page_content)), '[a-z0-9]+') as w from doc_records
                    where image_path is null and page_content is not null and not coalesce(table_md, false)
