@@ -1,16 +1,22 @@
 """Problem 3: statistics of a text that set natural prose apart from lists, tables and junk.
 
-Method: every line gets one of 14 observations (its line statistics), and a
-hidden Markov model with the states prose, list, table and junk labels the
-lines; the shares of the labels, by characters, are the document's statistics.
-The model is estimated here, by counting over a small labelled set of lines.
+Method: every line has statistics (shares of function words, digits and signs,
+counts of words and separators, its length, how it opens and closes), and a
+hidden Markov model with the states prose, list, table and junk labels the lines
+by them; the shares of the labels, by characters, are the document's statistics.
+The model is estimated here, by counting over labelled texts that are made by
+rule; no statistic names a label by itself.
 """
 
 from __future__ import annotations
 
+import json
 import math
+import random
 import re
-from collections.abc import Iterator
+import textwrap
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
@@ -37,230 +43,242 @@ COMMON_WORDS = frozenset(
 
 WORD = re.compile(r"[^\W\d_]+")
 TOKEN = re.compile(r"[^ \t\r\n]+")
-BULLET = re.compile(r"(?:[-*+•–—‣▪·]|o|\(?\d{1,3}[.)]|\d{1,3} -|\(?[a-z][.)])[ \t]+\S")
-LEADERS = re.compile(r"(?:\. ?){4,}\s*\d+$|[.…_]{4,}")
-STAMP = re.compile(r"\[?\d{4}-\d\d-\d\d[T ]\d\d:\d\d|\[(?:DEBUG|INFO|WARN|WARNING|ERROR)\]")
-CELLS = re.compile(r"\t| {2,}(?=\S)|\|")
-KEY = re.compile(r"[^:|;.]{1,60}:\s?[^:]{0,60}$|[\w.]+\s?=\s?\S+$")
-PAIRS = re.compile(r"(?:^Row -> |, )[^:,]{1,60}:")
-NAV = re.compile(r" [»|·/>›•] ")
-JSON = re.compile(r"^\s*[{\[].*[\"\]}]")
-HEX = re.compile(r"(?:[0-9a-fA-F]{2}[ :]){6,}|[0-9a-fA-F]{24,}")
-ENCODED = re.compile(r"[A-Za-z0-9+/=_-]{28,}")
 HEADING = re.compile(r"#{1,6}(?: |$)")
 ENDS = re.compile(r"[.!?…:;][\"'»”)]*$")
+MARKER = re.compile(r"(?:[-*+•–—‣▪·]|\(?\w{1,3}[.)]|\d{1,3} -)[ \t]+\S")
+SEPARATORS = re.compile(r"\t| {2,}(?=\S)|\||[»·›•]|\w / \w")
+RUN = re.compile(r"[.…_]{4,}|(?:\. ){4,}")
 
-#: Observations, in the order of the checks.
-OBSERVATIONS = (
-    "stamp", "leaders", "json", "pairs", "encoded", "symbols", "numbers", "cells", "sentence", "bullet", "nav", "key", "bare", "words", "tail",
-)
 
+def binned(x: float, edges: tuple[float, ...]) -> int:
+    return sum(x > e for e in edges)
 
-def observe(line: str, words: list[str] | None = None, common: int | None = None) -> str:
-    """The line's observation, from its line statistics."""
-    if words is None:
-        words = WORD.findall(line)
-        common = sum(w.lower() in COMMON_WORDS for w in words)
-    common /= max(1, len(words))
-    letters = sum(map(len, words))
-    if len(words) >= 8 and common >= 0.25 and letters > 3 * len(words) and "|" not in line and line.count(":") < 2 and not STAMP.match(line):
-        return "sentence"
+
+def line_statistics(line: str, words: list[str], common: int) -> tuple[int, ...]:
+    """The statistics of a line, each as the number of its bin; they say nothing about what the line is."""
     tokens = TOKEN.findall(line)
-    digits = sum(map(line.count, "0123456789"))
-    solid = sum(map(len, tokens))
-    if STAMP.match(line):
-        return "stamp"
-    if LEADERS.search(line):
-        return "leaders"
-    if HEX.search(line) or (len(tokens) <= 2 and ENCODED.search(line)):
-        return "encoded"
-    if JSON.match(line) and line.count('"') >= 4:
-        return "json"
-    if letters + digits < 0.5 * solid:
-        return "symbols" if line.count("|") * 3 < solid else "cells"
-    if digits > 0.6 * solid:
-        return "numbers"
-    if len(PAIRS.findall(line)) >= 2 or line.startswith("Row -> "):
-        return "pairs"
-    if line.startswith("|") or line.count("|") >= 2 and common < 0.25:
-        return "cells" if line.startswith("|") or line.count(" | ") < line.count("|") else "nav"
-    if len(words) >= 4 and common >= 0.18 and len(NAV.findall(line)) < 3:
-        return "bullet" if BULLET.match(line) and not ENDS.search(line) else "sentence"
-    if len(NAV.findall(line)) >= 2:
-        return "nav"
-    if len(CELLS.findall(line.strip())) >= 2 or line.count("\t") or (len(words) < 12 and line.count(",") + line.count(";") >= 3 and common < 0.1):
-        return "cells"
-    if line.count(",") >= 2 and digits and common < 0.1:
-        return "cells"
-    if BULLET.match(line):
-        return "bullet"
-    if KEY.match(line):
-        return "key"
-    if ENDS.search(line) and len(words) >= 1:
-        return "tail"
-    if len(words) >= 6 and common < 0.1:
-        return "words"
-    return "bare"
-
-
-# Labelled lines (p prose, l list, t table, j junk), in their order within a text.
-LABELLED = """
-p The report describes how the pump was tested and why it failed in the second week.
-p Operators check the valve every morning, and the log is
-p kept near the door so that each shift can read
-p it.
-p None of the parts had been replaced when the line was stopped.
-p Only 20 of the rooms were heated; the rest had to
-p wait.
-.
-p Der Bericht wurde im Jahr 2001 zusammen mit der Anlage geprüft, weil das Ventil nicht mehr dicht war.
-p Nach der Prüfung ist die Pumpe neu.
-p Wenn die Leitung ersetzt ist, bleibt die Kammer
-p offen.
-.
-p Après le contrôle, la pompe reste stable et le tableau est trié à la main.
-p On voit que le câble ne peut pas être
-p remplacé.
-p Cuando la válvula está cambiada, el sensor debe quedar limpio hasta que la placa sea estable.
-p En la página siguiente, la bomba es
-p simple.
-.
-p This chapter lists the tools that are needed for the work.
-l - hammer
-l - long ladder
-p The ladder must be kept dry, or it will not last for more than a year.
-p Who would have thought that it can carry so much?
-p It is sold in the shop.
-.
-l - hammer
-l - copper wire
-l - cold press
-l - spare bolt, narrow
-l - ladder
-.
-l 1) small tank
-l 2) valve
-l 3) grey pump, heavy
-l 4) motor
-.
-l hammer
-l cold press
-l spare bolt
-l valve
-l copper wire
-.
-l 1.1 Pumps and valves .......... 4
-l 1.2 Motors ................ 9
-l 2.1 Storage ............... 12
-.
-l Home » Products » Pumps and valves » Small pumps » Contact
-l Overview | Index | Notes | Contact
-.
-t | pump | 12 | 44.1 |
-t |---|---|---|
-t | valve | 9 | 3.0 |
-t | motor | 1 | n/a |
-.
-t pump\t12\t44.1
-t valve\t9\t3.0
-t grey motor\tspare\t
-t tank   cold press   44
-t 12   18   21.5
-t 33 41 55.2 18
-.
-t pump, 12, 44, spare
-t valve, 9, 3, none
-t cold press;12;8;n/a
-.
-t Row -> name: pump, size: 12, weight: 44.1
-t Row -> name: valve, size: 9
-t {"headers": ["name", "size"], "rows": [["pump", "12"]]}
-.
-t pump: 12
-t cold press: A-114
-t valve: spare
-t motor: n/a
-.
-j 2024-01-01 10:00 [INFO] pump.start#12 rc=0
-j 2024-01-01 10:01 [WARN] pump.stop#12 rc=1
-j 2024-01-01 10:02 [INFO] valve.open#3 rc=0
-.
-j 12.5 18.1 99.4 31.0 14.2
-j 41 52 63 77 81
-j 901.2 11.4
-.
-j %&$@#=/:~<_-+^:#_=|=*
-j +=-/*%$ #@!~ ^^^&&*
-.
-j 1e cd b5 21 95 ef b2 9c 7a 47 6a b9
-j LXCAm0smgCbCuYANUlwGkAMcSMvjqLWWLmQBD4w
-j Uo8i9NPfYrtzUab783Dp
-.
-j zkul bgmtm hctihj qzst iyjsm fbtb lebeq
-j kucd aii xkc ygc telw ypqy rqii
-j qwv zxcv plm oknb rtgf wsxe
-"""
+    solid, letters, digits = sum(map(len, tokens)), sum(map(len, words)), sum(map(line.count, "0123456789"))
+    first, last = line[0], line[-1]
+    opening = 0 if first.islower() else 1 if first.isalpha() else 2 if first.isdigit() else 3 if first in "|{[" else 4
+    closing = 0 if last in ".!?…" else 1 if last in ":;," else 2 if last.isdigit() else 3 if last.isalpha() else 4
+    n, colons = max(1, len(words)), line.count(":") + line.count("=")
+    return (
+        binned(common / n, (0, 0.1, 0.18, 0.25, 0.35)),
+        binned(len(words), (0, 1, 2, 3, 5, 8, 12)),
+        binned(digits / solid, (0, 0.1, 0.3, 0.6)),
+        binned(1 - (letters + digits) / solid, (0, 0.03, 0.06, 0.12, 0.25, 0.5)),
+        binned(letters / n, (2.5, 4, 5.5, 7, 9)),
+        binned(max(map(len, tokens)), (12, 17, 27)),
+        binned((line.count(",") + line.count(";")) / n, (0, 0.15, 0.35)),
+        binned(colons, (0, 1, 2)),
+        binned(colons / n, (0, 0.12, 0.25)),
+        binned(len(SEPARATORS.findall(line)), (0, 1, 3)),
+        binned(line.count('"') + line.count("{") + line.count("["), (0, 2)),
+        bool(RUN.search(line)) + 2 * bool(MARKER.match(line)),
+        binned(len(line), (18, 40, 70)),
+        binned(len(set(words)) / n, (0.3, 0.6, 0.9)),
+        opening,
+        closing,
+    )
 
 
-@lru_cache(maxsize=1)
-def model() -> tuple[list[float], list[list[float]], dict[str, list[float]]]:
-    """Log probabilities: of the first state, of the next state, and of the observation in each state."""
-    start = dict.fromkeys("pltj", 1.0)
-    follow = {a: dict.fromkeys("pltj", 0.3) for a in "pltj"}
-    emit = {a: dict.fromkeys(OBSERVATIONS, 0.2) for a in "pltj"}
-    before = None
-    for line in LABELLED.strip().split("\n"):
-        if line == ".":
-            before = None
-            continue
-        state, text = line[0], line[2:].replace("\\t", "\t")
-        emit[state][observe(text)] += 1
-        if before is None:
-            start[state] += 1
-        else:
-            follow[before][state] += 1
-        before = state
+class Samples:
+    """Labelled texts as lines of (state, line), made by rule: what the model learns from.
+
+    ``p`` prose, ``l`` list, ``t`` table, ``j`` junk.
+    """
+
+    # The words that the labelled texts are made of.
+    NAMES = """pump valve hammer ladder press motor tank bolt wire kettle garden harbour engine mirror letter window bridge market
+        river teacher copper silver village doctor paper winter summer station orchard candle Pumpe Ventil Kammer Leitung Schrank
+        Fenster Garten Brücke Lehrer Winter pompe vanne câble lumière jardin fenêtre marché école rivière voiture bomba válvula
+        ventana jardín puente mercado escuela invierno camino cámara""".split()
+    KINDS = "small long cold grey spare heavy narrow open broad quick grau kalt lang alt petit froid gris neuf frío largo viejo nuevo".split()
+    DONE = "tested opened moved cleaned stored checked removed painted geprüft gebaut versetzt vérifié ouvert rangé revisado abierto pintado".split()
+
+    def __init__(self, seed: int):
+        self.r = random.Random(seed)
+        self.common = sorted(COMMON_WORDS)
+
+    def name(self) -> str:
+        r = self.r
+        if r.random() < 0.3:  # an invented word
+            return "".join(r.choice("b br d f g gr k l m n p pl r s st t tr v w z".split()) + r.choice("a e i o u ea ou ie".split()) for _ in range(r.randint(1, 3))) + r.choice("lnmrskxt")
+        return r.choice(self.NAMES)
+
+    def item(self) -> str:
+        said = " ".join([self.r.choice(self.KINDS)] * (self.r.random() < 0.5) + [self.name() for _ in range(self.r.randint(1, 2))])
+        return said.title() if self.r.random() < 0.2 else said
+
+    def sentence(self) -> str:
+        r, out = self.r, []
+        for _ in range(r.choice((2, 3, 3, 4, 5, 6))):
+            out += [r.choice(self.common) for _ in range(r.choice((1, 1, 2, 2, 3)))]
+            out.append(r.choice((self.name, self.name, lambda: r.choice(self.DONE), lambda: r.choice(self.KINDS), lambda: str(r.randint(1, 2100))))())
+            if r.random() < 0.15:
+                out[-1] += ","
+        text = " ".join(out)
+        return text[0].upper() + text[1:] + r.choice("......!?:")
+
+    def paragraph(self) -> list[str]:
+        r = self.r
+        text = " ".join(self.sentence() for _ in range(r.randint(1, 6)))
+        width = r.choice((30, 45, 60, 75, 90, 10_000, 10_000))
+        return textwrap.wrap(text, width)
+
+    def cell(self) -> str:
+        r = self.r
+        return r.choice((self.item, self.item, lambda: str(r.randint(0, 99_999)), lambda: f"{r.uniform(0, 9000):.2f}", lambda: f"{r.choice('ABKMQ')}{r.choice('AEX')}Z-{r.randint(100, 9999)}", lambda: r.choice(("", "-", "n/a", "0"))))()
 
-    def logs(counts: dict) -> list[float]:
-        total = sum(counts.values())
-        return [math.log(v / total) for v in counts.values()]
+    def listed(self) -> list[str]:
+        r, n = self.r, self.r.randint(4, 14)
+        kind = r.randrange(7)
+        if kind == 0:
+            return [f"{i}.{r.randint(1, 9)} {self.item().title()} {r.choice(('.', '. ')) * r.randint(5, 40)} {i * 3}" for i in range(1, n)]
+        if kind == 1:
+            mark = r.choice((" » ", " | ", " · ", " › ", " / ", " > "))
+            return [mark.join(self.item().title() for _ in range(r.randint(4, 14))) for _ in range(r.choice((1, 1, 3)))]
+        if kind == 2:
+            return [self.item() + ", " * (r.random() < 0.1) + self.name() * (r.random() < 0.1) for _ in range(n)]
+        mark = r.choice(("-", "*", "+", "•", "–", "#)", "#.", "(#)", "#.", "#)"))
+        return [f"{mark.replace('#', str(i))} {self.item()}" + (f", {r.choice(self.KINDS)}" if r.random() < 0.3 else "") for i in range(1, n)]
 
-    by_state = {a: dict(zip(OBSERVATIONS, logs(emit[a]))) for a in "pltj"}
-    return logs(start), [logs(follow[a]) for a in "pltj"], {o: [by_state[a][o] for a in "pltj"] for o in OBSERVATIONS}
+    def table(self) -> list[str]:
+        r, width = self.r, self.r.randint(2, 6)
+        rows = [[self.cell() for _ in range(width)] for _ in range(r.randint(3, 12))]
+        head = [self.item() for _ in range(width)]
+        kind = r.randrange(10)
+        if kind < 2:
+            return [f"| {' | '.join(c)} |" for c in [head]] + ["|---" * width + "|"] + [f"| {' | '.join(c)} |" for c in rows]
+        if kind == 2:
+            return ["\t".join(c) for c in rows]
+        if kind == 3:
+            return ["".join(f"{x:<{r.choice((18, 22))}}" for x in c) for c in rows]
+        if kind == 4:
+            mark = r.choice((",", ";", ", "))
+            return [mark.join(c) for c in rows]
+        if kind in (5, 8, 9):
+            return [r.choice(("Row -> ", "")) + ", ".join(f"{h}: {x}" for h, x in zip(head, c)) for c in rows[: r.choice((1, 1, 4))]]
+        if kind == 6:
+            return [json.dumps({"headers": head, "rows": rows})]
+        mark = r.choice((": ", ":", " = ", "="))
+        return [f"{self.item()}{mark}{self.cell()}" for _ in range(3 * len(rows))]
 
+    def junk(self) -> list[str]:
+        r, n = self.r, self.r.randint(3, 10)
+        letters = "abcdefghijklmnopqrstuvwxyz"
+        kind = r.randrange(8)
+        if kind == 7:
+            return [" ".join([self.name()] * r.randint(5, 60))]
+        if kind == 0:
+            return [f"20{r.randint(10, 29)}-0{r.randint(1, 9)}-{r.randint(10, 28)} {r.randint(10, 23)}:{r.randint(10, 59)} [{r.choice(('INFO', 'WARN', 'ERROR', 'DEBUG'))}] {self.name()}.{self.name()}#{r.randint(1, 999)} rc={r.randint(0, 9)}" for _ in range(n)]
+        if kind == 1:
+            return [" ".join(f"{r.uniform(0, 999):.{r.choice((0, 1, 3))}f}" for _ in range(r.randint(3, 9))) for _ in range(n)]
+        if kind == 2:
+            return ["".join(r.choice("%&$@#=/:~<_-+^|*.> \\") for _ in range(r.randint(15, 70))).strip() or "##" for _ in range(n)]
+        if kind == 3:
+            return [" ".join(f"{r.randrange(256):02x}" for _ in range(16)) for _ in range(n)]
+        if kind == 4:
+            return ["".join(r.choice(letters + letters.upper() + "0123456789+/") for _ in range(r.choice((24, 40, 60, 76)))) for _ in range(n)]
+        if kind == 5:
+            return textwrap.wrap(" ".join("".join(r.choice(letters) for _ in range(r.randint(2, 14))) for _ in range(60)), r.choice((60, 80, 10_000)))
+        return textwrap.wrap(" ".join(self.item() for _ in range(40)), r.choice((60, 80, 10_000)))  # words without sentences
 
-def label_lines(observations: list[str], lengths: list[int], unit: int = 80) -> list[int]:
-    """The most likely states (Viterbi), as indices into ``STATES``.
+    def text(self) -> list[tuple[str, str]]:
+        """Mostly one kind, with others among it."""
+        r = self.r
+        make = {"p": self.paragraph, "l": self.listed, "t": self.table, "j": self.junk}
+        main = r.choice("ppplltj")
+        order = [main] * r.randint(1, 3)
+        if r.random() < 0.5:
+            order.insert(r.randrange(len(order) + 1), r.choice("pplt"))
+        return [(s, line.strip(BLANKS)) for s in order for line in make[s]() if line.strip(BLANKS)]
 
-    A line that was never wrapped holds the evidence of several: its observation
-    counts once for every ``unit`` characters begun.
+
+@dataclass
+class LineModel:
+    """Log probabilities of the hidden Markov model: of the first state, of the next one, and of every statistic's bin in each state.
+
+    The statistics of a line aren't independent of each other, so each counts
+    for the part ``trust`` only.
     """
-    if not observations:
-        return []
-    start, follow, emit = model()
-    evidence = [emit[o] if n <= unit else [p * -(-n // unit) for p in emit[o]] for o, n in zip(observations, lengths)]
-    best = [s + e for s, e in zip(start, evidence[0])]
-    back = []
-    for e in evidence[1:]:
-        pointers, new = [], []
-        for k in range(4):
-            scores = [best[j] + follow[j][k] for j in range(4)]
-            j = max(range(4), key=scores.__getitem__)
-            pointers.append(j)
-            new.append(scores[j] + e[k])
-        back.append(pointers)
-        best = new
-    state = max(range(4), key=best.__getitem__)
-    path = [state]
-    for pointers in reversed(back):
-        state = pointers[state]
-        path.append(state)
-    return path[::-1]
-
-
-def measured(text: str) -> tuple:
+
+    start: list[float]
+    follow: list[list[float]]
+    emit: list[list[list[float]]]
+    trust: float = 0.6
+    known: dict[tuple[int, ...], list[float]] = field(default_factory=dict)
+
+    @classmethod
+    def fit(cls, texts: int = 3000, seed: int = 1) -> LineModel:
+        """Counted over labelled texts."""
+        samples = Samples(seed)
+        start, follow = dict.fromkeys("pltj", 1.0), {a: dict.fromkeys("pltj", 1.0) for a in "pltj"}
+        emit: list[dict[str, list[float]]] = []
+        for _ in range(texts):
+            before = None
+            for state, line in samples.text():
+                words = WORD.findall(line)
+                statistics = line_statistics(line, words, sum(w.lower() in COMMON_WORDS for w in words))
+                emit = emit or [{a: [1.0] * 9 for a in "pltj"} for _ in statistics]
+                for counts, x in zip(emit, statistics):
+                    counts[state][x] += 1
+                if before is None:
+                    start[state] += 1
+                else:
+                    follow[before][state] += 1
+                before = state
+
+        def logs(counts: Iterable[float]) -> list[float]:
+            counts = list(counts)
+            return [math.log(v / sum(counts)) for v in counts]
+
+        by_state = [[logs(f[a]) for a in "pltj"] for f in emit]
+        return cls(logs(start.values()), [logs(follow[a].values()) for a in "pltj"], [[list(x) for x in zip(*f)] for f in by_state])
+
+    def evidence(self, statistics: tuple[int, ...]) -> list[float]:
+        """Log likelihood of a line in each state."""
+        found = self.known.get(statistics)
+        if found is None:
+            found = [self.trust * sum(f[x][s] for f, x in zip(self.emit, statistics)) for s in range(4)]
+            if len(self.known) < 200_000:
+                self.known[statistics] = found
+        return found
+
+    def labels(self, statistics: list[tuple[int, ...]], lengths: list[int], unit: int = 80) -> list[int]:
+        """The most likely states (Viterbi), as indices into ``STATES``.
+
+        A line that was never wrapped holds the evidence of several: its statistics
+        count once for every ``unit`` characters begun.
+        """
+        if not statistics:
+            return []
+        said = [self.evidence(x) if n <= unit else [e * -(-n // unit) for e in self.evidence(x)] for x, n in zip(statistics, lengths)]
+        best = [s + e for s, e in zip(self.start, said[0])]
+        back = []
+        for e in said[1:]:
+            pointers, new = [], []
+            for k in range(4):
+                scores = [best[j] + self.follow[j][k] for j in range(4)]
+                j = max(range(4), key=scores.__getitem__)
+                pointers.append(j)
+                new.append(scores[j] + e[k])
+            back.append(pointers)
+            best = new
+        state = max(range(4), key=best.__getitem__)
+        path = [state]
+        for pointers in reversed(back):
+            state = pointers[state]
+            path.append(state)
+        return path[::-1]
+
+
+line_model = lru_cache(maxsize=1)(LineModel.fit)
+
+
+def measured(text: str, model: LineModel) -> tuple:
     """Statistics of one text; see :func:`text_statistics`."""
-    lines, observations, fence = [], [], None
+    lines, statistics, fence = [], [], None
     n_lines = n_words = ended = letters = common = 0
     for raw in text.split("\n"):
         line = raw.strip(BLANKS)
@@ -279,11 +297,11 @@ def measured(text: str) -> tuple:
             fence = line[:3]
         elif not HEADING.match(line):
             lines.append(len(line))
-            observations.append(observe(raw.strip("\r\n"), words, known))
+            statistics.append(line_statistics(line, words, known))
     solid = len(text) - sum(map(text.count, BLANKS))
     digits = sum(map(text.count, "0123456789"))
     mass = [0, 0, 0, 0]
-    for n, s in zip(lines, label_lines(observations, lines)):
+    for n, s in zip(lines, model.labels(statistics, lines)):
         mass[s] += n
     total = sum(mass)
     shares = [m / total for m in mass] if total else [1.0 if n_lines else 0.0, 0.0, 0.0, 0.0]
@@ -312,12 +330,14 @@ def text_statistics(df: DataFrame, key: str = "rec_id", text: str = "page_conten
     rows.
     """
 
+    model = line_model()  # fitted once, on the driver
+
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         seen: set = set()
         for k, t in zip(keys, texts):
             if k is not None and k not in seen:
                 seen.add(k)
-                yield k, not (t or "").strip(BLANKS), *measured(t or "")
+                yield k, not (t or "").strip(BLANKS), *measured(t or "", model)
 
     kind = df.schema[key].dataType.simpleString()
     names = ("mean_word_length", "symbol_ratio", "ended_lines", "common_words", *STATES)
