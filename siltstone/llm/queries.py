@@ -60,8 +60,9 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_repaired(spark: SparkSession, d: str) -> DataFrame:
     of_pdf = F.lower(F.col("source")).endswith(".pdf")
-    records = table(spark, d, "doc_records").where(unflagged(images=True) & (F.coalesce(F.col("ocr"), F.lit(False)) | F.coalesce(of_pdf, F.lit(False))))
-    return scans.repair_scans(records)
+    every = table(spark, d, "doc_records")
+    records = every.where(unflagged(images=True) & (F.coalesce(F.col("ocr"), F.lit(False)) | F.coalesce(of_pdf, F.lit(False))))
+    return scans.repair_scans(records, corpus=every)
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -1,13 +1,14 @@
 """Problem 6: text of scanned pages made into continuous paragraphs.
 
 Method: noisy channel.  Running headers and page numbers are taken out, words
-broken over lines are joined, and each line is decoded by Viterbi: the candidates
-of a word are what a scanner may have misread for it, weighed by the confusion
-probabilities and by the likelihood of word pairs in the corpus.
-
-The corpus counts cover all records.  Only words (pairs) above a share of all
-words (pairs) are sent to the tasks: there can be no more than one over that
-share of them, however large the corpus.
+broken over lines are joined, and each line is decoded by Viterbi: a word is
+itself or any known word that a scanner may have misread for it, weighed by the
+probabilities of the confusions and of the words and word pairs of the corpus.
+
+The corpus is all records, each counted once; how likely each confusion is comes
+from its rare words that are explained by frequent ones.  Only words (pairs)
+above a share of all words (pairs) are sent to the tasks: there can be no more
+than one over that share of them, however large the corpus.
 """
 
 from __future__ import annotations
@@ -16,24 +17,24 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from statistics import median
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siltstone.llm.common import map_rows
+from siltstone.llm.common import RepeatedIds, map_rows, rows_and_copies
+from siltstone.llm.neardup import MASK, WordHash
 from siltstone.llm.quality import COMMON_WORDS
 from siltstone.session import materialize
 
-# What is read, what was printed, and how likely that is a misreading rather than the word itself.
+# What is read, and what may have been printed.
 CONFUSIONS = (
-    ("c", "e", 0.1), ("@", "a", 0.3), ("0", "o", 0.3), ("†", "t", 0.3), ("|", "i", 0.3), ("|", "l", 0.1), ("1", "l", 0.3), ("1", "i", 0.1),
-    ("ii", "u", 0.1), ("cl", "d", 0.05), ("5", "s", 0.3), ("li", "h", 0.05), ("rn", "m", 0.05), ("9", "g", 0.3), ("m", "in", 0.05),
-    ("6", "b", 0.3), ("vv", "w", 0.1), ("f", "e", 0.01), ("d", "cl", 0.01), ("8", "b", 0.1), ("3", "e", 0.1), ("$", "s", 0.3), ("¢", "c", 0.3),
-    ("€", "e", 0.3), ("l", "i", 0.005), ("m", "rn", 0.01), ("w", "vv", 0.005),
+    ("c", "e"), ("@", "a"), ("0", "o"), ("†", "t"), ("|", "i"), ("|", "l"), ("1", "l"), ("1", "i"), ("ii", "u"), ("cl", "d"), ("5", "s"), ("li", "h"), ("rn", "m"),
+    ("9", "g"), ("m", "in"), ("6", "b"), ("vv", "w"), ("f", "e"), ("d", "cl"), ("8", "b"), ("3", "e"), ("$", "s"), ("¢", "c"), ("€", "e"), ("l", "i"), ("m", "rn"), ("w", "vv"),
 )
 
 WORD = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -52,57 +53,76 @@ JOINT = "\x00"
 BREAKS = re.compile("[-‐\u00ad¬](?:[ \\t]*\x00[ \\t]*|[ \\t]+)|\u00ad")
 BEFORE = re.compile(r"[^\W\d_][\w@†|]*$")
 AFTER = re.compile(r"[^\W\d_][\w@†|]*")
-#: A sign or digit inside a word of small letters: misread, even where the word is unknown.
-ODD = re.compile(r"^[^\W\d_A-Z]*[^\W\d_A-Z][@†|¢€015698$]+[^\W\d_A-Z]{2,}$|^[^\W\d_A-Z]{2,}[@†|¢€015698$]+[^\W\d_A-Z]+$")
+#: A sign or digit between letters.
+INNER = re.compile(r"[^\W\d_][@†|¢€$\d]+[^\W\d_]")
 CODE = re.compile(r"^[A-Z]{2,}-\d+$|^\d[\d.,]*$")
 
 
+#: Odd multipliers of the hash of two words.
+PAIR = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 #: Makes a word and all its misreadings equal (and some other words too).
 FOLD = str.maketrans(
     {**dict.fromkeys("cf3¢€", "e"), **dict.fromkeys("lr1|", "i"), **dict.fromkeys("uh", "ii"), **dict.fromkeys("68", "b"), "@": "a", "0": "o", "†": "t", "5": "s", "$": "s", "9": "g", "m": "in", "w": "vv", "d": "ei"}
 )
 
 
-def channel(read: str, printed: str) -> float | None:
-    """Log probability that the one was read for the other; None if no confusions explain it."""
+def aligned(read: str, printed: str, log_of: dict[tuple[str, str], float]) -> tuple[float, tuple[tuple[str, str], ...]] | None:
+    """(log probability, confusions) of the likeliest way to read the one for the other; None if the confusions can't explain it."""
     if read == printed:
-        return 0.0
-    if read[:1] == printed[:1] and read:
-        n = 1
-        while n < min(len(read), len(printed)) and read[n] == printed[n]:
-            n += 1
-        rest = channel(read[n:], printed[n:])
-        if rest is not None:
-            return rest
-        # the equal start may have to be shorter: a sequence that was misread began in it
-        for k in range(n - 1, max(-1, n - 3), -1):
-            rest = _confused(read[k:], printed[k:])
-            if rest is not None:
-                return rest
-        return None
-    return _confused(read, printed)
-
-
-def _confused(read: str, printed: str) -> float | None:
+        return 0.0, ()
+    n = 0
+    while n < min(len(read), len(printed)) and read[n] == printed[n]:
+        n += 1
+    # the equal start may have to be shorter: a sequence that was misread began in it
     best = None
-    for seen, meant, q in CONFUSIONS:
-        if read.startswith(seen) and printed.startswith(meant):
-            rest = channel(read[len(seen) :], printed[len(meant) :])
-            if rest is not None and (best is None or rest + math.log(q) > best):
-                best = rest + math.log(q)
+    for k in range(n, max(-1, n - 3), -1):
+        for pair in CONFUSIONS:
+            seen, meant = pair
+            if read.startswith(seen, k) and printed.startswith(meant, k) and (k == n or len(seen) + k > n or len(meant) + k > n):
+                rest = aligned(read[k + len(seen) :], printed[k + len(meant) :], log_of)
+                if rest is not None and (best is None or rest[0] + log_of[pair] > best[0]):
+                    best = rest[0] + log_of[pair], (pair, *rest[1])
     return best
 
 
+def confusion_hits(language: Language, rare: Iterable[tuple[str, int]], certain: int = 20) -> Counter:
+    """How often each confusion explains a rare word by one at least ``certain`` times as frequent."""
+    even = dict.fromkeys(CONFUSIONS, -2.0)
+    hits: Counter = Counter()
+    for word, n in rare:
+        found = [(x[0] + math.log(language.words[c]), x[1]) for c in language.mates(word) if language.words[c] >= certain * n and (x := aligned(word, c, even))]
+        if found:
+            for pair in max(found)[1]:
+                hits[pair] += n
+    return hits
+
+
+def confusion_logs(hits: dict[tuple[str, str], int], noise: float) -> dict[tuple[str, str], float]:
+    """Log probability of each confusion where its printed side stands on a noisy page.
+
+    Of all misreadings of a printed sequence, each has its share of the counts
+    (and one count beforehand); together they are the share ``noise``.
+    """
+    every: Counter = Counter()
+    for pair in CONFUSIONS:
+        every[pair[1]] += hits.get(pair, 0) + 1
+    return {pair: math.log(noise * (hits.get(pair, 0) + 1) / every[pair[1]]) for pair in CONFUSIONS}
+
+
 @dataclass
 class Language:
-    """Frequent words and word pairs of the corpus, with their counts."""
+    """Frequent words and word pairs (by hash) of the corpus with their counts, and the confusions' log probabilities."""
 
     words: dict[str, int]
-    pairs: dict[str, int]
+    pairs: dict[int, int]
     total: int
+    logs: dict[tuple[str, str], float] = field(default_factory=dict)
+    plain_share: float = 2e-4
     cache: dict[str, list[tuple[str, float]]] = field(default_factory=dict)
     folds: dict[str, list[str]] = field(default_factory=dict)
     plain: set[str] = field(default_factory=set)
+    hashes: WordHash = field(default_factory=WordHash)
+    letters: Counter | None = None
 
     def __post_init__(self) -> None:
         for w in self.words:
@@ -111,54 +131,76 @@ class Language:
     def count(self, word: str) -> int:
         return self.words.get(word, 0)
 
+    def mates(self, word: str) -> list[str]:
+        """The known words that fold to the same string as this one."""
+        return [c for c in self.folds.get(word.translate(FOLD), ()) if c != word]
+
     def log_likelihood(self, before: str, word: str) -> float:
         alone = max(self.words.get(word, 0), 0.5) / max(1, self.total)
         n = self.words.get(before, 0)
-        together = self.pairs.get(f"{before} {word}", 0) / n if n else 0.0
-        return math.log(0.5 * alone + 0.5 * together) if together else math.log(0.5 * alone)
+        together = self.pairs.get(pair_key(self.hashes[before], self.hashes[word]), 0) / n if n else 0.0
+        return math.log(0.5 * alone + 0.5 * together)
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
         """(what may have been printed, log of the channel's probability), the word itself first.
 
-        A word and its misreadings fold to one string, under which the frequent
+        A word and its misreadings fold to one string, under which the known
         words are filed, so any number of misread characters costs one look-up.
+        Words above ``plain_share`` of all are never taken for misread.
         """
         found = self.cache.get(word)
         if found is None:
             found = [(word, 0.0)]
-            own = self.words.get(word, 0)
-            if len(word) > 2 and own < 2e-4 * self.total + 10 or len(word) == 2 and not word.isalpha():
-                others = [(c, p) for c in self.folds.get(word.translate(FOLD), ()) if self.words[c] > max(5 * own, 2) and (p := channel(word, c)) is not None]
-                found += sorted(others, key=lambda x: -x[1])[:6]
+            if (len(word) > 2 or not word.isalpha()) and self.words.get(word, 0) < self.plain_share * self.total + 10:
+                found += [(c, x[0]) for c in self.mates(word) if (x := aligned(word, c, self.logs))]
+                if len(found) == 1 and INNER.search(word):
+                    found += self.respelled(word)
             if len(self.cache) < 300_000:
                 self.cache[word] = found
-                if len(found) == 1 and not ODD.match(word):
+                if len(found) == 1:
                     self.plain.add(word)
         return found
 
+    def respelled(self, word: str) -> list[tuple[str, float]]:
+        """For a word of which no reading is known, such as a name: readings of the signs between its letters.
+
+        What tells them apart from the word is how its letters follow each other
+        in known words.
+        """
+        readings = [("", 0.0)]
+        for k, c in enumerate(word):
+            inner = not c.isalpha() and 0 < k < len(word) - 1
+            ways = [(c, 0.0)] + [(meant, self.logs[c, meant]) for seen, meant in CONFUSIONS if inner and seen == c]
+            readings = [(r + w, p + q) for r, p in readings for w, q in ways][:64]
+        own = self.spelling(word)
+        return [(r, p + self.spelling(r) - own) for r, p in readings if r != word]
+
+    def spelling(self, word: str) -> float:
+        """Log likelihood of the row of characters, counted over the known words."""
+        if self.letters is None:
+            self.letters = Counter(x for w in self.words for x in zip(f" {w}", f"{w} "))
+            self.letters.update(Counter(x for w in self.words for x in f" {w}"))
+        return sum(math.log((self.letters[x] + 0.1) / (self.letters[x[0]] + 10)) for x in zip(f" {word}", f"{word} "))
+
     def clear(self, text: str) -> bool:
         """True if every word of the text can only be itself."""
-        unknown = [w for w in CORE.findall(text.lower()) if w not in self.plain]
-        return all(len(self.candidates(w)) == 1 and not ODD.match(w) for w in unknown)
+        return all(w in self.plain or len(self.candidates(w)) == 1 for w in CORE.findall(text.lower()))
 
     def decoded(self, words: list[str]) -> list[str]:
         """The most likely printed words of a line (Viterbi)."""
         options = [self.candidates(w) for w in words]
         if all(len(o) == 1 for o in options):
             return words
-        best = [(0.0, -1)]
-        states = [("", best)]
+        scores, back, before = [0.0], [], [("", 0.0)]
         for o in options:
-            before, scores = states[-1] if len(states) > 1 else ([("", 0.0)], best)
-            now = []
-            for c, channel in o:
-                ranked = [(s + self.log_likelihood(b, c) + channel, k) for k, ((b, _), (s, _)) in enumerate(zip(before, scores))]
-                now.append(max(ranked))
-            states.append((o, now))
-        out, k = [], max(range(len(states[-1][1])), key=lambda i: states[-1][1][i][0])
-        for o, scores in reversed(states[1:]):
+            ranked = [max((s + self.log_likelihood(b, c) + misread, k) for k, ((b, _), s) in enumerate(zip(before, scores))) for c, misread in o]
+            scores, before = [r[0] for r in ranked], o
+            back.append([r[1] for r in ranked])
+        k = max(range(len(scores)), key=scores.__getitem__)
+        out = []
+        for o, pointers in zip(reversed(options), reversed(back)):
             out.append(o[k][0])
-            k = scores[k][1]
+            k = pointers[k]
         return out[::-1]
 
 
@@ -207,7 +249,8 @@ def repaired(text: str, language: Language, least_misread: int) -> tuple[str, li
     """The text as continuous paragraphs, and the kinds of noise that it had."""
     lines = [x.strip() for x in BREAK.split(text)]
     words = WORD.findall(text.lower())
-    if not words or text.lstrip().startswith(("|", "{")) or sum(w in COMMON_WORDS for w in words) < 0.18 * len(words):
+    ruled = sum(x.startswith("|") for x in lines) > 0.5 * sum(map(bool, lines)) or text.lstrip().startswith('{"')
+    if not words or ruled or sum(w in COMMON_WORDS for w in words) < 0.18 * len(words):
         return text, []  # not running text: nothing to put together
     headers, numbers = furniture(lines)
     noise = []
@@ -245,7 +288,7 @@ def repaired(text: str, language: Language, least_misread: int) -> tuple[str, li
             own = language.count(compound)
             if not known and not own:
                 # neither form is frequent: two words of their own make a compound, else it is one word
-                known = not (language.count(a.lower()) > 20 and language.count(b.lower()) > 20)
+                known = not (language.count(a.lower()) and language.count(b.lower()))
             at = m.end()
             if b[:1].islower() and known > own:
                 hyphens += 1
@@ -270,8 +313,6 @@ def repaired(text: str, language: Language, least_misread: int) -> tuple[str, li
                 new = printed.upper() if len(was) > 1 and was.isupper() else printed.capitalize() if was[:1].isupper() else printed
                 parts += [p[at : m.start()], new]
                 at = m.end()
-            elif ODD.match(read):
-                misread += 1
         parts.append(p[at:])
         out.append(re.sub(r"[ \t]+", " ", "".join(parts)).strip())
     if hyphens:
@@ -285,40 +326,92 @@ def repaired(text: str, language: Language, least_misread: int) -> tuple[str, li
     return "\n\n".join(out), noise
 
 
-def corpus_language(df: DataFrame, text: str, word_share: float, pair_share: float, least: int) -> Language:
-    """Counts of words and word pairs over all texts; what is sent back is bounded by one over the shares."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        words = pairs = 0
-
-        def dump(parts: list[tuple[str, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.string()), pa.array([p[1] for p in parts], pa.int64())], ["term", "n"])
-
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                found = WORD.findall(t.lower())
-                words += len(found)
-                pairs += max(0, len(found) - 1)
-                seen.update(found)
-                seen.update(x for w in found if "-" in w for x in w.split("-"))
-                seen.update(map(" ".join, zip(found, found[1:])))
-            if len(seen) > 400_000:
-                yield dump(list(seen.items()))
-                seen.clear()
-        yield dump([*seen.items(), ("", words), (" ", pairs)])
-
-    parts = df.select(F.col(text)).where(F.col(text).isNotNull()).mapInArrow(count, "term string, n long")
-    sums = parts.groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    sums = materialize(sums, "ngrams")
-    totals = dict(sums.where("term in ('', ' ')").toLocalIterator())
+def pair_key(a: int, b: int) -> int:
+    """A signed 64-bit key of two words' hashes."""
+    k = (a * PAIR[0] + (b ^ (b >> 29)) * PAIR[1]) & MASK
+    return k - (1 << 64) if k >> 63 else k
+
+
+def pair_keys(h: np.ndarray) -> np.ndarray:
+    """The keys of all neighbours in a row of word hashes."""
+    a, b = h[:-1], h[1:]
+    return (a * np.uint64(PAIR[0]) + (b ^ (b >> np.uint64(29))) * np.uint64(PAIR[1])).view(np.int64)
+
+
+def corpus_counts(df: DataFrame, key: str, text: str, table_bits: int, flush: int = 1_000_000) -> DataFrame:
+    """(term, pair, n): counts of words and of hashed word pairs over all texts, a key once; the totals stand under '' and ' '."""
+
+    def counter(skip: RepeatedIds | None):
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            hashes, words = WordHash(), Counter()
+            held: list[np.ndarray] = []
+            size = n_words = n_pairs = 0
+            last = None
+
+            def pairs() -> pa.RecordBatch:
+                keys, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+                return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["term", "pair", "n"])
+
+            def dump() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.nulls(len(words), pa.int64()), pa.array(list(words.values()), pa.int64())], ["term", "pair", "n"])
+
+            for b in batches:
+                if skip is not None:
+                    b = b.filter(pa.array(~skip.possible(b.column(2).to_numpy())))
+                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    if skip is None and k == last:
+                        continue  # a copy of the record before
+                    last = k
+                    found = WORD.findall(t.lower())
+                    n_words += len(found)
+                    words.update(found)
+                    words.update(x for w in found if "-" in w for x in w.split("-"))
+                    if len(found) > 1:
+                        held.append(pair_keys(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
+                        n_pairs += len(found) - 1
+                        size += len(found) - 1
+                    if size > flush:
+                        yield pairs()
+                        held, size = [], 0
+                    if len(words) > 200_000:
+                        yield dump()
+                        words.clear()
+            yield pairs()
+            words.update({"": n_words, " ": n_pairs})
+            yield dump()
+
+        return count
+
+    rows, repeated, copies = rows_and_copies(df, key, text, table_bits)
+    schema = "term string, pair long, n long"
+    return rows.mapInArrow(counter(repeated), schema).unionByName(copies.mapInArrow(counter(None), schema))
+
+
+def corpus_language(df: DataFrame, key: str, text: str, word_share: float, pair_share: float, least: int, noise: float, table_bits: int) -> Language:
+    """The language of all texts; what is sent to the driver is bounded by one over the shares, and by the number of confusions."""
+    sums = materialize(corpus_counts(df, key, text, table_bits).groupBy("term", "pair").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("pair").isNull(), 1).otherwise(least)), "ngrams")
+    totals = dict(sums.where("term in ('', ' ')").select("term", "n").toLocalIterator())
     words, pairs = totals.get("", 0), totals.get(" ", 0)
-    is_pair = F.col("term").contains(" ")
-    kept = sums.where("trim(term) <> ''").where(F.when(is_pair, F.col("n") >= pair_share * pairs).otherwise(F.col("n") >= word_share * words))
-    known: tuple[dict, dict] = ({}, {})
-    for term, n in kept.toLocalIterator():
-        known[" " in term][term] = n
-    return Language(known[0], known[1], words)
+    single = sums.where("pair is null and trim(term) <> ''")
+    frequent = F.col("n") >= F.greatest(F.lit(word_share * words), F.lit(least))
+    known = dict(single.where(frequent).select("term", "n").toLocalIterator())
+    together = dict(sums.where(F.col("pair").isNotNull() & (F.col("n") >= F.lit(pair_share * pairs))).select("pair", "n").toLocalIterator())
+    language = Language(known, together, words)
+    sent = df.sparkSession.sparkContext.broadcast((known, words))
+
+    def explained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rare words, the parts that the confusions have in explaining them."""
+        local = Language(sent.value[0], {}, sent.value[1])
+        hits: Counter = Counter()
+        for b in batches:
+            hits.update(confusion_hits(local, zip(b.column(0).to_pylist(), b.column(1).to_pylist())))
+        cells = [CONFUSIONS.index(p) for p in hits], list(hits.values())
+        yield pa.RecordBatch.from_arrays([pa.array(cells[0], pa.int32()), pa.array(cells[1], pa.int64())], ["pair", "n"])
+
+    rare = single.where(~frequent).select("term", "n")
+    hits = rare.mapInArrow(explained, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator()
+    language.logs = confusion_logs({CONFUSIONS[k]: n for k, n in hits}, noise)
+    return language
 
 
 def repair_scans(
@@ -326,10 +419,13 @@ def repair_scans(
     key: str = "rec_id",
     text: str = "page_content",
     *,
+    corpus: DataFrame | None = None,
     least_misread: int = 3,
-    word_share: float = 5e-6,
-    pair_share: float = 2e-5,
+    word_share: float = 2e-6,
+    pair_share: float = 1e-5,
     least_count: int = 3,
+    noise: float = 0.1,
+    table_bits: int = 22,
 ) -> DataFrame:
     """(key, text, noise): every text repaired, with the kinds of noise found in it.
 
@@ -340,11 +436,14 @@ def repair_scans(
     Null texts give no rows, nor do null keys; rows with the same key count
     once; other columns are ignored; an empty table gives no rows.
 
-    Words (pairs) below ``word_share`` (``pair_share``) of all, or seen fewer
-    than ``least_count`` times, are unknown to the language model.
+    ``corpus`` has the records that the language is counted on, with the same
+    columns (default: the records themselves).  Words (pairs) below
+    ``word_share`` (``pair_share``) of all, or seen fewer than ``least_count``
+    times, are unknown to it.  ``noise`` is the share of a character's
+    occurrences that are misread on a noisy page.
     """
-    language = corpus_language(df, text, word_share, pair_share, least_count)
-    sent = df.sparkSession.sparkContext.broadcast((language.words, language.pairs, language.total))
+    language = corpus_language(df if corpus is None else corpus, key, text, word_share, pair_share, least_count, noise, table_bits)
+    sent = df.sparkSession.sparkContext.broadcast((language.words, language.pairs, language.total, language.logs))
     name = uuid.uuid4().hex
 
     def rows(keys: list, texts: list) -> Iterator[tuple]:

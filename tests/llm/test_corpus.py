@@ -1,9 +1,11 @@
 """Leaked passages, template residue, scanned text."""
 
+import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from siltstone.llm import leakage, residue, scans
@@ -248,10 +250,65 @@ def test_own_hyphens_are_no_breaks():
 
 
 def test_channel():
-    assert scans.channel("rnodern", "modern") is not None
-    assert scans.channel("mcdcrn", "modern") is None
-    assert scans.channel("", "") == 0.0
-    assert scans.channel("woiild", "would") == pytest.approx(scans.channel("siip", "sup"))
+    even = dict.fromkeys(scans.CONFUSIONS, -2.0)
+    assert scans.aligned("rnodern", "modern", even) == (-2.0, (("rn", "m"),))
+    assert scans.aligned("mcdcrn", "modern", even) is None
+    assert scans.aligned("", "", even) == (0.0, ())
+    assert scans.aligned("woiild", "would", even) == scans.aligned("siip", "sup", even)
+    assert scans.aligned("pagc5", "pages", even)[1] == (("c", "e"), ("5", "s"))
+
+
+def test_confusions_are_counted_on_rare_words():
+    language = scans.Language({"modern": 900, "engine": 800, "sheet": 700, "pages": 600}, {}, 100_000)
+    hits = scans.confusion_hits(language, [("rnodern", 3), ("cnginc", 2), ("shcct", 1), ("pagcs", 40), ("unheard", 9)])
+    assert hits == {("rn", "m"): 3, ("c", "e"): 6}  # "pagcs" is too frequent to be explained for certain
+    logs = scans.confusion_logs(hits, 0.1)
+    of_e = {pair: math.exp(x) for pair, x in logs.items() if pair[1] == "e"}
+    assert sum(of_e.values()) == pytest.approx(0.1) and max(of_e, key=of_e.get) == ("c", "e")
+
+
+def small_language(**more):
+    words = {"they": 100, "eat": 50, "cat": 8, "bread": 100, "the": 400, "is": 90, "of": 200, "in": 90, "sleeps": 20}
+    h = scans.WordHash()
+    pairs = {scans.pair_key(h[a], h[b]): n for a, b, n in (("they", "eat", 45), ("eat", "bread", 30), ("the", "cat", 8), ("cat", "sleeps", 6))}
+    return scans.Language(words, pairs, 2000, scans.confusion_logs({("c", "e"): 5}, 0.1), plain_share=0.002)
+
+
+def test_viterbi_is_right_where_the_best_single_words_are_not():
+    language = small_language()
+    assert [c for c, _ in language.candidates("cat")] == ["cat", "eat"]
+    greedy = lambda words: [max(language.candidates(w), key=lambda x: x[1])[0] for w in words]
+    likeliest = lambda words: [max(language.candidates(w), key=lambda x: language.count(x[0]) * math.exp(x[1]))[0] for w in words]
+    for read, printed in (("they cat bread", "they eat bread"), ("the cat sleeps", "the cat sleeps")):
+        assert language.decoded(read.split()) == printed.split()
+    assert greedy("they cat bread".split()) != "they eat bread".split()  # by the channel alone
+    assert likeliest("they cat bread".split()) != "they eat bread".split()  # by words without their neighbours
+    without = small_language()
+    without.pairs = {}
+    assert without.decoded("they cat bread".split()) != "they eat bread".split()
+
+
+def test_signs_in_an_unknown_word():
+    known = {w: 5 for w in "garden pustrel marlow pustule foxtail roxane boxes pastor lustre".split()}
+    language = scans.Language(known, {}, 10_000, scans.confusion_logs({}, 0.1))
+    assert language.decoded(["pustr0x"]) == ["pustrox"] and language.decoded(["b2b"]) == ["b2b"]
+    assert language.decoded(["mp3"]) == ["mp3"]
+
+
+def test_pair_keys():
+    h = scans.WordHash()
+    words = ["a", "b", "c", "a", "b"]
+    keys = scans.pair_keys(np.array([h[w] for w in words], np.uint64)).tolist()
+    assert keys == [scans.pair_key(h[a], h[b]) for a, b in zip(words, words[1:])] and keys[0] == keys[3] != keys[1]
+
+
+def test_the_language_counts_all_records_once(spark):
+    rows = [(i, f"The word{'s' * (i % 3)} of the page.") for i in range(60)]
+    df = spark.createDataFrame([*rows, *rows[:20], (None, "lost lost"), (90, None)], "k long, t string").repartition(5)
+    language = scans.corpus_language(df, "k", "t", 0, 0, 1, 0.1, 12)
+    assert language.total == 300 and language.words["the"] == 120 and language.words["word"] == 20 and "lost" not in language.words
+    h = language.hashes
+    assert language.pairs[scans.pair_key(h["the"], h["page"])] == 60
 
 
 def test_scans_of_nothing(spark):
