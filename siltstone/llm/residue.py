@@ -1,12 +1,14 @@
 """Problem 9: template residue, filler, error messages and script notices instead of content.
 
-Method: labelled exemplars of residue stand in an inverted index from term to
-exemplar.  A passage window (a line for messages, a paragraph for filler)
-retrieves the exemplars that share terms with it; its containment is the share
-of its TF-IDF mass that the best exemplar covers.  The window of a placeholder
-is what stands in its marks: the term of its shape and, where the marks also have
-other uses, a term for each word between them.  Document frequencies come from
-all documents.
+Method: labelled exemplars of residue, whole sentences, stand in an inverted
+index from term to exemplar.  A passage window retrieves the exemplars that share
+terms with it; its containment is the share of its TF-IDF mass that the best
+exemplar covers.  Messages and filler are scored sentence by sentence, and a line
+(for filler, a paragraph) by the sum over its sentences.  Filler made to look
+like Latin is compared by the beginnings of its words.  The window of a
+placeholder is what stands in its marks: the term of its shape and, where the
+marks also have other uses, a term for each word between them.  Document
+frequencies come from all documents.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -23,69 +25,179 @@ from pyspark.sql import functions as F
 
 from siltstone.llm.common import BLANKS, map_rows
 
-# Labelled exemplars of residue.
+# Labelled exemplars of residue, a passage in each line.
 EXEMPLARS = {
-    "error": [
-        "error status http code request failed",
-        "something went wrong, an unexpected error occurred",
-        "we are sorry, oops, an error happened",
-        "page not found: we looked everywhere but the page you asked for is missing",
-        "the page file folder record item resource document you requested asked for does not exist, is not available, was removed, cannot be shown, could not be found here",
-        "you do not have permission, clearance, access or the rights to view, open or edit this page file folder record item document",
-        "access denied forbidden unauthorized: you lack permission to open this file folder page item, please log in or sign in",
-        "the server archive host site service could not complete your request, try again in a few minutes",
-        "our this the servers server host archive site service is are overloaded, down for maintenance, unavailable, offline or not responding at the moment",
-        "internal server error, bad gateway, service temporarily unavailable due to maintenance, thank you for your patience",
-        "gateway timeout: the upstream service server gave no answer, is not responding within seconds, the request timed out",
-        "the connection to was refused, reset or closed after seconds",
-        "too many requests, slow down and retry after seconds, id",
-        "your session has expired, sign in log in again to continue",
-        "could not extract text from this page file attachment: document is password protected, encrypted or damaged",
-        "please try again later, check the address and retry, contact the administrator support if this keeps happening",
-        "incident number, request id, reference, error code, vorgang, referencia, incident",
-        "go back to the start page, that has moved or no longer exists",
-        "unhandled failure exception in, traceback most recent call last, at line, value error, key error, type error, empty",
-        "fehler diese seite gibt es nicht mehr, die angeforderte seite wurde nicht gefunden",
-        "zugriff verweigert, bitte melden sie sich erneut an",
-        "der dienst server ist zurzeit nicht erreichbar verfügbar, vorgang, bitte versuchen sie es später erneut",
-        "interner serverfehler, ihre sitzung ist abgelaufen",
-        "erreur la page demandée est introuvable, cette page n existe pas",
-        "accès refusé, vous n avez pas les droits, veuillez vous reconnecter, votre session a expiré",
-        "service indisponible pour le moment, incident, veuillez réessayer plus tard, erreur interne du serveur",
-        "error no encontramos la página solicitada, esta página no existe",
-        "acceso denegado, inicie sesión otra vez, su sesión ha caducado",
-        "el servicio no está disponible ahora mismo, referencia, inténtelo de nuevo más tarde, error interno del servidor",
-    ],
-    "script": [
-        "you need to enable javascript js scripting scripts to run this app application",
-        "please turn on enable activate javascript js scripting scripts in your browser and reload the page",
-        "javascript js scripting is disabled, some parts of this page will not work until you activate enable it",
-        "your browser does not support scripts scripting javascript, so the document page cannot be displayed",
-        "this viewer page site app requires javascript js scripting scripts, it appears to be switched off",
-        "loading document viewer, if nothing happens, allow scripts and cookies for this page",
-        "bitte aktivieren sie javascript js scripting scripts, um diese seite anzuzeigen",
-        "ohne javascript js scripting kann dieses dokument diese seite nicht geladen angezeigt werden",
-        "veuillez activer javascript js scripting pour afficher ce document cette page",
-        "votre navigateur bloque les scripts, la page ne peut pas s afficher",
-        "active activa habilite javascript js scripting para ver esta página este documento",
-        "su navegador no permite scripts y el documento no se puede mostrar",
-    ],
-    "filler": [
-        "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua"
-        " anim commet dolen egestin eros faucis lacin ligun massor mira nulor pharen porta quasit risat sagor serat tempun turpin urnat velis veltor vitam",
-        "foo bar baz qux asdf qwert qwerty abc test testing",
-        "test blah bla text etc xxx xyz",
-        "text goes here, your content text will appear in this place, insert add your text here, sample text, example text",
-        "add more text to fill this block, replace this paragraph text with your own words, write a short description here",
-        "dummy paragraph text to show the layout",
-        "hier steht ein beispieltext, platzhaltertext, blindtext",
-        "texte provisoire à remplacer, texte d exemple, votre texte ici",
-        "aquí va el texto de ejemplo, texto de relleno, su texto aquí",
-        "heading one two, subheading, section title, body text, caption text, bullet point, list item",
-        "under construction, coming soon, content pending, to be completed, tbd, tba, todo, placeholder only",
-        "the author has not supplied any text yet, please check back later, this section will be written at a later date",
-    ],
+    "error": """
+        Error 404
+        HTTP status: 500
+        Error code 0x80070005
+        We are sorry, something went wrong.
+        Oops! An unexpected error has occurred.
+        404 - Page not found
+        We looked everywhere for the page you asked for, but it is missing.
+        The page you requested does not exist.
+        The file you requested was removed.
+        The folder you requested is not available.
+        The record you requested cannot be shown.
+        The resource you are looking for could not be found on this server.
+        The item you requested has moved or no longer exists.
+        The document has moved here or no longer exists.
+        You do not have permission to view this page.
+        You do not have the rights to view this folder.
+        You do not have clearance to view this item.
+        You do not have access to open this file.
+        Access denied. You lack permission to open this file.
+        403 Forbidden: you are not authorized to access this resource.
+        You must log in to view this page.
+        The request failed. The server could not complete your request.
+        Request failed
+        Try again in a few minutes.
+        Please try again later.
+        Check the address and retry.
+        Please contact the administrator if this keeps happening.
+        Contact support and give them the incident number.
+        Go back to the start page.
+        Our servers are overloaded at the moment.
+        This host is down for maintenance at the moment.
+        The archive is not responding at the moment.
+        This site is currently offline for maintenance.
+        The service is temporarily unavailable due to maintenance.
+        Thank you for your patience.
+        500 Internal server error
+        502 Bad gateway
+        Gateway timeout: the upstream service gave no answer within 30 s.
+        The server took too long to respond and the request timed out.
+        The connection to the host was refused after 30 s.
+        The connection to the host was closed after 30 s.
+        The connection was reset by the server.
+        Too many requests
+        Slow down and retry after 30 seconds.
+        Your session has expired. Sign in again to continue.
+        Please log in again.
+        Could not extract text from this page: the document is password protected.
+        Could not extract text from this attachment: the file is encrypted or damaged.
+        Could not extract text from this file.
+        Request id: 5d1f
+        Incident number 5d1f
+        Code 17
+        Unhandled exception in thread main
+        Unhandled failure in module.function
+        Traceback (most recent call last):
+        File "main.py", at line 17
+        ValueError: empty value
+        KeyError: name
+        TypeError: object is not callable
+        Fehler 404: Diese Seite gibt es nicht (mehr).
+        Die angeforderte Seite wurde nicht gefunden.
+        Zugriff verweigert. Bitte melden Sie sich erneut an.
+        Der Dienst ist zurzeit nicht erreichbar.
+        Bitte versuchen Sie es später erneut.
+        Interner Serverfehler
+        Ihre Sitzung ist abgelaufen.
+        Vorgang 5d1f
+        Erreur 404 : la page demandée est introuvable.
+        Cette page n'existe pas.
+        Accès refusé. Vous n'avez pas les droits.
+        Votre session a expiré, veuillez vous reconnecter.
+        Service indisponible pour le moment (incident 5d1f)
+        Veuillez réessayer plus tard.
+        Erreur interne du serveur
+        Error 404: no encontramos la página solicitada.
+        Esta página no existe.
+        Acceso denegado. Inicie sesión otra vez.
+        Su sesión ha caducado.
+        El servicio no está disponible ahora mismo (referencia 5d1f)
+        Inténtelo de nuevo más tarde.
+        Error interno del servidor
+    """,
+    "script": """
+        You need to enable JavaScript to run this app.
+        You need to enable scripting to run this app.
+        Please turn on JavaScript in your browser and reload the page.
+        Please turn on scripting in your browser and reload the page.
+        Please enable JS and disable any ad blocker.
+        JavaScript is disabled.
+        JS is disabled.
+        Scripting is disabled.
+        Some parts of this page will not work until you activate it.
+        Your browser does not support scripts, so the document cannot be displayed.
+        This site requires JavaScript.
+        This viewer requires JS.
+        This viewer requires scripting.
+        It appears to be switched off.
+        Loading document viewer ...
+        If nothing happens, allow scripts and cookies for this page.
+        Bitte aktivieren Sie JavaScript, um diese Seite anzuzeigen.
+        Bitte aktivieren Sie JS, um diese Seite anzuzeigen.
+        Ohne JavaScript kann dieses Dokument nicht geladen werden.
+        Ohne JS kann dieses Dokument nicht geladen werden.
+        Veuillez activer JavaScript pour afficher ce document.
+        Veuillez activer JS pour afficher ce document.
+        Votre navigateur bloque les scripts ; la page ne peut pas s'afficher.
+        Active JavaScript para ver esta página.
+        Active JS para ver esta página.
+        Su navegador no permite scripts y el documento no se puede mostrar.
+    """,
+    "filler": """
+        Lorem ipsum dolor sit amet, consectetur adipiscing elit.
+        foo bar baz qux foo bar baz
+        asdf asdf qwert qwerty
+        abc abc test test testing
+        foo bar baz test test abc asdf qwert
+        test test text text blah blah bla bla etc etc xxx xxx
+        Text goes here.
+        Your text here.
+        Your content will appear in this place.
+        This is sample text.
+        This is an example paragraph.
+        Add more text to fill this block.
+        Replace this paragraph with your own words.
+        Write a short description here.
+        Dummy paragraph to show the layout.
+        Dummy text
+        Hier steht ein Beispieltext.
+        Platzhaltertext
+        Dies ist ein Blindtext.
+        Texte provisoire à remplacer.
+        Votre texte ici.
+        Aquí va el texto de ejemplo.
+        Texto de relleno
+        Heading one
+        Heading two
+        Subheading
+        Section title
+        Body text
+        Caption text
+        Bullet point
+        List item
+        Under construction.
+        Coming soon.
+        Content pending.
+        To be completed.
+        TBD
+        TODO
+        Placeholder only.
+        The author has not supplied any text yet.
+        Please check back later.
+        This section will be written at a later date.
+    """,
 }
+# The passages that typesetters and generators of filler have always used.  What is made to look like them
+# shares the beginnings of their words, so they are compared by these.
+PSEUDO_LATIN = """
+    Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim
+    veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate
+    velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit
+    anim id est laborum. Sed ut perspiciatis unde omnis iste natus error sit voluptatem accusantium doloremque laudantium, totam rem aperiam, eaque
+    ipsa quae ab illo inventore veritatis et quasi architecto beatae vitae dicta sunt explicabo. Nemo enim ipsam voluptatem quia voluptas sit
+    aspernatur aut odit aut fugit. Pellentesque habitant morbi tristique senectus et netus et malesuada fames ac turpis egestas. Vestibulum tortor
+    quam, feugiat vitae, ultricies eget, tempor sit amet, ante. Donec eu libero sit amet quam egestas semper. Aenean ultricies mi vitae est. Mauris
+    placerat eleifend leo. Quisque sit amet est et sapien ullamcorper pharetra. Vestibulum erat wisi, condimentum sed, commodo vitae, ornare sit
+    amet, wisi. Aenean fermentum, elit eget tincidunt condimentum, eros ipsum rutrum orci, sagittis tempus lacus enim ac dui. Donec non enim in
+    turpis pulvinar facilisis. Ut felis. Praesent dapibus, neque id cursus faucibus, tortor neque egestas augue, eu vulputate magna eros eu erat.
+    Aliquam erat volutpat. Nam dui mi, tincidunt quis, accumsan porttitor, facilisis luctus, metus. Class aptent taciti sociosqu ad litora torquent
+    per conubia nostra, per inceptos himenaeos. Nunc porta risus a urna, massa lacinia ligula.
+"""
 
 # Shapes of unfilled placeholders.
 PLACEHOLDER = re.compile(
@@ -115,6 +227,7 @@ OPENERS = ("{", "[", "<", "%", "@@", "__", "XX_", "&lt;", ".....")
 FENCED = re.compile(r"^[ \t]*(```|~~~).*?(?:^[ \t]*\1[^\n]*|\Z)", re.DOTALL | re.MULTILINE)
 QUOTED = re.compile(r"``[^\n]*?``|`[^`\n]*`")
 WORD = re.compile(r"[^\W\d_]+")
+SENTENCE = re.compile(r"[.!?;:]+(?:\s+|$)")
 PARAGRAPH = re.compile(r"\n[ \t\r]*\n")
 MENU = re.compile(r" [|»·›/•>] ")
 
@@ -137,6 +250,26 @@ def placeholder_windows(text: str) -> Iterator[list[str]]:
 PLACEHOLDERS = [["shape:marked"], ["shape:blank"], *([f"shape:{m}", *(f"field:{w}" for w in FIELDS)] for m in MARKS)]
 
 
+def terms(text: str) -> list[str]:
+    return WORD.findall(text.lower())
+
+
+def beginnings(words: Iterable[str]) -> list[str]:
+    """The words' first three letters, as terms that don't mix with words."""
+    return [f"begin:{w[:3]}" for w in words]
+
+
+#: (label, terms) of every exemplar.
+LABELLED = [
+    *((label, terms(line)) for label, lines in EXEMPLARS.items() for line in lines.strip().split("\n")),
+    ("latin", beginnings(terms(PSEUDO_LATIN))),
+    *(("placeholder", w) for w in PLACEHOLDERS),
+]
+VOCABULARY = frozenset(t for _, x in LABELLED for t in x)
+WORDS = frozenset(t for t in VOCABULARY if ":" not in t)
+BEGINNINGS = frozenset(t for t in VOCABULARY if t.startswith("begin:"))
+
+
 @dataclass
 class Index:
     """Inverted index of the exemplars, with the weights of their terms."""
@@ -148,23 +281,17 @@ class Index:
 
     @classmethod
     def build(cls, frequencies: dict[str, int], documents: int, cap: float) -> Index:
-        labels, postings = [], {}
-        for label, texts in EXEMPLARS.items():
-            for t in texts:
-                for term in set(terms(t)):
-                    postings.setdefault(term, []).append(len(labels))
-                labels.append(label)
-        for window in PLACEHOLDERS:
-            for term in window:
-                postings.setdefault(term, []).append(len(labels))
-            labels.append("placeholder")
+        postings: dict[str, list[int]] = {}
+        for e, (_, window) in enumerate(LABELLED):
+            for term in set(window):
+                postings.setdefault(term, []).append(e)
         weight = {t: min(cap, 0.1 + math.log((documents + 1) / (frequencies.get(t, 0) + 1))) for t in postings}
-        return cls(postings, labels, weight, cap)
+        return cls(postings, [label for label, _ in LABELLED], weight, cap)
 
-    def containment(self, window: list[str], wanted: tuple[str, ...]) -> float:
-        """Share of the window's mass that the best exemplar of the wanted labels covers."""
+    def covered(self, window: list[str], wanted: tuple[str, ...]) -> tuple[float, float, str]:
+        """Of the window's mass what the best exemplar of the wanted labels covers, the whole mass, and that exemplar's label."""
         total = 0.0
-        mass = [0.0] * len(self.labels)
+        mass: dict[int, float] = {}
         for term in window:
             hit = self.postings.get(term)
             if hit is None:
@@ -173,18 +300,25 @@ class Index:
             w = self.weight[term]
             total += w
             for e in hit:
-                mass[e] += w
-        best = max((m for m, label in zip(mass, self.labels) if label in wanted), default=0.0)
-        return best / total if total else 0.0
-
-
-def terms(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+                if self.labels[e] in wanted:
+                    mass[e] = mass.get(e, 0.0) + w
+        if not mass:
+            return 0.0, total, ""
+        best = max(mass, key=mass.__getitem__)
+        return mass[best], total, self.labels[best]
 
+    def containment(self, window: list[str], wanted: tuple[str, ...]) -> float:
+        found, total, _ = self.covered(window, wanted)
+        return found / total if total else 0.0
 
-VOCABULARY = frozenset(t for texts in EXEMPLARS.values() for x in texts for t in terms(x))
-SHAPED = frozenset(x for w in PLACEHOLDERS for x in w)
-FILLER = frozenset(t for x in EXEMPLARS["filler"] for t in terms(x))
+    def coverage(self, windows: list[list[str]], wanted: tuple[str, ...]) -> tuple[float, str]:
+        """Share of the windows' mass that is covered, each by its own best exemplar, and the label that covers most."""
+        whole, by_label = 0.0, Counter()
+        for w in windows:
+            found, total, label = self.covered(w, wanted)
+            whole += total
+            by_label[label] += found
+        return (sum(by_label.values()) / whole, by_label.most_common(1)[0][0]) if whole else (0.0, "")
 
 
 def is_menu(line: str) -> bool:
@@ -192,44 +326,49 @@ def is_menu(line: str) -> bool:
     return bool(MENU.search(line)) or (line[-1] not in ".!?;:" and len(line.split()) <= 8)
 
 
+def sentences(line: str) -> list[list[str]]:
+    """The terms of a line's sentences."""
+    return [w for x in SENTENCE.split(line) if (w := terms(x))]
+
+
 def message_kind(text: str, index: Index, threshold: float) -> str | None:
     """``error`` or ``script`` if, apart from menu lines, the whole text is such a message."""
-    found, told = None, 0
+    found: Counter = Counter()
+    told = 0
     for raw in text.split("\n"):
         line = raw.strip(BLANKS)
         if not line:
             continue
         if line.startswith("|"):
             return None
-        window = [t for t in terms(line) if len(t) > 1]
-        score = index.containment(window, ("error",))
-        script = index.containment(window, ("script",))
-        if max(score, script) >= threshold:
-            told += len(window)
-            if found is None or script > score:
-                found = "script" if script > score else "error"
-        elif window and not is_menu(line):
+        windows = [[t for t in w if len(t) > 1] for w in sentences(line)]
+        score, label = index.coverage(windows, ("error", "script"))
+        if score >= threshold:
+            n = sum(map(len, windows))
+            told += n
+            found[label] += n
+        elif any(windows) and not is_menu(line):
             return None
-    return found if told >= 3 else None
+    return found.most_common(1)[0][0] if told >= 3 else None
 
 
-def is_filler(paragraph: str, index: Index, threshold: float) -> bool:
-    window = terms(paragraph)
-    if not window or paragraph.lstrip(BLANKS).startswith("#") or sum(t in FILLER for t in window) < 0.6 * len(window):
+def is_filler(paragraph: str, index: Index, threshold: float, least_latin: float) -> bool:
+    if paragraph.lstrip(BLANKS).startswith("#"):
         return False
-    return index.containment(window, ("filler",)) >= threshold or (
-        # several filler sentences in a row, each from an exemplar of its own
-        all(index.containment(w, ("filler",)) >= threshold for s in re.split(r"[.!?\n]+", paragraph) if (w := terms(s)))
-    )
+    window = terms(paragraph)
+    latin = beginnings(window)
+    if len(latin) >= 8 and sum(t in BEGINNINGS for t in latin) >= 0.5 * len(latin) and index.containment(latin, ("latin",)) >= least_latin:
+        return True
+    return sum(t in WORDS for t in window) >= 0.6 * len(window) and index.coverage(sentences(paragraph.replace("\n", ".\n")), ("filler",))[0] >= threshold
 
 
-def residue_kinds(text: str, index: Index, message: float, filler: float, placeholder: float = 0.75) -> list[str]:
+def residue_kinds(text: str, index: Index, message: float, filler: float, placeholder: float = 0.75, latin: float = 0.6) -> list[str]:
     """Labels of the residue in one text."""
     kinds = []
     plain = QUOTED.sub(" ", FENCED.sub("\n\n", text)) if "`" in text or "~~~" in text else text
     if any(index.containment(w, ("placeholder",)) >= placeholder for w in placeholder_windows(plain)):
         kinds.append("placeholder")
-    if any(is_filler(p, index, filler) for p in PARAGRAPH.split(plain)):
+    if any(is_filler(p, index, filler, latin) for p in PARAGRAPH.split(plain)):
         kinds.append("filler")
     if (kind := message_kind(plain, index, message)) is not None:
         kinds.append(kind)
@@ -248,8 +387,10 @@ def exemplar_frequencies(df: DataFrame, key: str, text: str) -> tuple[dict[str,
         for b in batches:
             for t in b.column(0).to_pylist():
                 n += 1
-                seen.update(VOCABULARY.intersection(WORD.findall(t.lower())))
-                seen.update(SHAPED.intersection(x for w in placeholder_windows(t) for x in w))
+                words = set(terms(t))
+                seen.update(WORDS & words)
+                seen.update(BEGINNINGS.intersection(beginnings(words)))
+                seen.update(VOCABULARY.intersection(x for w in placeholder_windows(t) for x in w))
         cells = [*seen.items(), ("", n)]
         yield pa.RecordBatch.from_arrays([pa.array([c[0] for c in cells], pa.string()), pa.array([c[1] for c in cells], pa.int64())], ["term", "n"])
 
@@ -259,12 +400,13 @@ def exemplar_frequencies(df: DataFrame, key: str, text: str) -> tuple[dict[str,
 
 
 def template_residue(
-    df: DataFrame, key: str = "doc_id", text: str = "text", *, message: float = 0.6, filler: float = 0.75, placeholder: float = 0.75, weight_cap: float = 6.0
+    df: DataFrame, key: str = "doc_id", text: str = "text", *, message: float = 0.6, filler: float = 0.75, placeholder: float = 0.75, latin: float = 0.6, weight_cap: float = 6.0
 ) -> DataFrame:
     """(key, kind) for every document with residue; ``kind``: placeholder, filler, error, script.
 
-    ``message``, ``filler`` and ``placeholder`` are the least containments of a
-    message line, a filler paragraph and a placeholder; ``weight_cap`` bounds the weight of a term, and is
+    ``message``, ``filler``, ``latin`` and ``placeholder`` are the least
+    containments of a message line, a filler paragraph, one that is made to look
+    like Latin, and a placeholder; ``weight_cap`` bounds the weight of a term, and is
     the weight of terms that no exemplar has.  Code in fences or backticks is
     ignored.  Null and blank texts and null keys give no rows; rows that repeat
     whole count once; other columns are ignored; an empty table gives no rows.
@@ -275,7 +417,7 @@ def template_residue(
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         for k, t in zip(keys, texts):
             if k is not None and t:
-                for kind in residue_kinds(t, index, message, filler, placeholder):
+                for kind in residue_kinds(t, index, message, filler, placeholder, latin):
                     yield k, kind
 
     kind = df.schema[key].dataType.simpleString()

@@ -148,6 +148,18 @@ def test_placeholders_are_scored_by_shape_and_words():
         assert "placeholder" not in residue.residue_kinds(t, index, 0.6, 0.75), t
 
 
+def test_sentences_are_scored_each_by_its_own_exemplar():
+    index = residue.Index.build({"page": 50, "the": 90, "you": 60, "be": 80, "could": 40}, 100, 6.0)
+    kinds = lambda t: residue.residue_kinds(t, index, 0.6, 0.75)
+    assert kinds("Something went wrong. Please try again later.\n\nHome | Back") == ["error"]
+    assert kinds("Die angeforderte Seite wurde nicht gefunden.") == ["error"]
+    assert kinds("You need to enable JavaScript to run this shop.") == ["script"]
+    assert kinds("The page about bridges could be found by you in the harbour museum.") == []
+    assert kinds("Section title 3\nBody text 1\nBullet point 9") == ["filler"]
+    assert kinds("Loren ipsur dolom sitam consecut adipis elitus sedum tempora laboro magnar.") == ["filler"]  # made to look like it
+    assert kinds("The commodity market of the province had a temporary surplus of magnets and commas.") == []
+
+
 def test_residue_of_nothing(spark):
     assert residue.template_residue(documents(spark, [])).count() == 0
 
