@@ -120,19 +120,28 @@ USABLE_SQL = """
           from c qualify rank <= 5)
 """
 
+SIMILAR_SQL = """
+    r as (select rec_id, regexp_extract_all(lower(any_value(page_content)), '[a-z0-9]+') as w from doc_records
+          where image_path is null and page_content is not null and not coalesce(table_md, false)
+                and not coalesce(table_json, false) and not coalesce(table_row, false) group by rec_id),
+    s as (select distinct rec_id, array_to_string(w[p : p + 2], ' ') as g
+          from (select rec_id, w, unnest(range(1, len(w) - 1)) as p from r where len(w) >= 40)),
+    z as (select rec_id, count(*) as n from s group by rec_id),
+    i as (select a.rec_id as rec_a, b.rec_id as rec_b, count(*) as k from s a join s b on a.g = b.g and a.rec_id < b.rec_id group by 1, 2),
+    p as (select rec_a, rec_b from i join z x on x.rec_id = rec_a join z y on y.rec_id = rec_b where k >= 0.6 * (x.n + y.n - k))
+"""
+
 SQL: dict[str, str] = {
     "p1_found": f"""with {USABLE_SQL} select distinct least(vec_id, neighbour_id) as vec_a, greatest(vec_id, neighbour_id) as vec_b
         from n where cosine >= 0.9""",
     "p1_neighbours": f"with {USABLE_SQL} select vec_id, rank, neighbour_id, cosine from n",
-    "p2_found": """
-        with r as (select rec_id, regexp_extract_all(lower(any_value(page_content)), '[a-z0-9]+') as w from doc_records
-                   where image_path is null and page_content is not null and not coalesce(table_md, false)
-                         and not coalesce(table_json, false) and not coalesce(table_row, false) group by rec_id),
-        s as (select distinct rec_id, array_to_string(w[p : p + 2], ' ') as g
-              from (select rec_id, w, unnest(range(1, len(w) - 1)) as p from r where len(w) >= 40)),
-        z as (select rec_id, count(*) as n from s group by rec_id),
-        i as (select a.rec_id as rec_a, b.rec_id as rec_b, count(*) as k from s a join s b on a.g = b.g and a.rec_id < b.rec_id group by 1, 2)
-        select rec_a, rec_b from i join z x on x.rec_id = rec_a join z y on y.rec_id = rec_b where k >= 0.6 * (x.n + y.n - k)
+    "p2_found": f"with {SIMILAR_SQL} select rec_a, rec_b from p",
+    "p2_groups": f"""
+        with recursive {SIMILAR_SQL},
+        b as (select rec_a as x, rec_b as y from p union all select rec_b, rec_a from p),
+        walk(x, y) as (select x, y from b union select walk.x, b.y from walk join b on walk.y = b.x),
+        c as (select rec_id, list(g order by g) as gs from s group by rec_id)
+        select rec_id, min(rec_id) over (partition by gs) as class_id, least(rec_id, coalesce((select min(y) from walk where x = rec_id), rec_id)) as group_id from c
     """,
     "p4_found": """
         with recursive r as (select rec_id, any_value(page_content) as t from doc_records where page_content is not null group by rec_id),
