@@ -29,14 +29,15 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "id long, v array<float>, rank string")
 
 
+@pytest.mark.parametrize("block", [4, 100])
 @pytest.mark.parametrize("metric", knn.METRICS)
-def test_nearest_agrees_with_brute_force(spark, metric):
+def test_nearest_agrees_with_brute_force(spark, metric, block):
     rng = np.random.default_rng(3)
     data = rng.standard_normal((300, 8)).astype(np.float32)
     data[10] = data[11] = data[12]  # ties go to the lower id
     rows = vectors(spark, [(i, v.tolist(), "x") for i, v in enumerate(data)]).repartition(5)
     asked = rows.where("id < 15")
-    got = knn.nearest(asked.withColumnRenamed("id", "q"), rows, question_id="q", question_vector="v", id="id", vector="v", k=7, dim=8, metric=metric, block=4)
+    got = knn.nearest(asked.withColumnRenamed("id", "q"), rows, question_id="q", question_vector="v", id="id", vector="v", k=7, dim=8, metric=metric, block=block, cell_rows=80)
     d = data.astype(float)
     for q in range(15):
         dist = 1 - d @ d[q] / np.linalg.norm(d, axis=1) / np.linalg.norm(d[q]) if metric == "cosine" else ((d - d[q]) ** 2).sum(1)
@@ -44,6 +45,27 @@ def test_nearest_agrees_with_brute_force(spark, metric):
         assert [r["id"] for r in got.where(f"q = {q}").orderBy("rank").collect()] == want
 
 
+def test_the_plan_is_the_same_for_any_number_of_questions(spark):
+    rng = np.random.default_rng(4)
+    rows = vectors(spark, [(i, v.tolist(), "x") for i, v in enumerate(rng.standard_normal((120, 4)))])
+    ask = dict(question_id="q", question_vector="v", id="id", vector="v", k=3, dim=4, cell_rows=50)
+    plans = []
+    for block in (50, 10):  # 3 blocks and 12
+        got = knn.nearest(rows.withColumnRenamed("id", "q"), rows, block=block, **ask)
+        assert got.count() == 360
+        plans.append(got._jdf.queryExecution().optimizedPlan().toString())
+    assert plans[0].count("LogicalRDD") == plans[1].count("LogicalRDD") and plans[0].count("\n") == plans[1].count("\n") and "Union" not in plans[1]
+
+
+def test_string_ids_and_self(spark):
+    df = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 0.0]), ("c", [0.0, 1.0]), ("d", [1.0, 0.1])], "id string, v array<double>")
+    ask = dict(question_id="q", question_vector="v", id="id", vector="v", k=2, dim=2, without_self=True)
+    for block in (2, 10):
+        got = knn.nearest(df.withColumnRenamed("id", "q"), df, block=block, **ask)
+        assert [r["id"] for r in got.where("q = 'a'").orderBy("rank").collect()] == ["b", "d"]
+        assert [r["id"] for r in got.where("q = 'd'").orderBy("rank").collect()] == ["a", "b"]
+
+
 def test_unusable_vectors_neither_ask_nor_answer(spark):
     rows = vectors(spark, [(1, [1.0, 0.0], "a"), (2, None, "b"), (3, [1.0], "c"), (4, [0.0, 0.0], "d"), (5, [float("nan"), 1.0], "e"), (None, [1.0, 1.0], "f"), (6, [0.0, 2.0], "g")])
     got = knn.nearest(rows.withColumnRenamed("id", "q"), rows, question_id="q", question_vector="v", id="id", vector="v", k=3, dim=2, without_self=True)
@@ -66,11 +88,18 @@ def okapi(docs: list[str], q: str) -> list[float]:
     return [round(sum(idf.get(t, 0) * w.count(t) * 2.5 / (w.count(t) + 1.5 * (0.25 + 0.75 * len(w) / mean)) for t in q.lower().split()), 9) for w in words]
 
 
-def test_bm25_agrees_with_the_formula_and_pads_with_zeros(spark):
+@pytest.mark.parametrize("block", [1, 2, 10])
+def test_bm25_agrees_with_the_formula_and_pads_with_zeros(spark, tmp_path, block):
     docs = ["The cat sat", "the dog", "the the bird sang", "fish", "a cat and the dog", "the end", "", "the cat sat"]
     df = spark.createDataFrame(list(enumerate(docs)), "id long, text string").repartition(3)
     asked = spark.createDataFrame([(0, "the the cat"), (1, "zebra"), (2, None)], "q int, text string")
-    got = bm25.search(bm25.build(df, "id", "text"), asked, question_id="q", question="text", id="id", k=8, block=2)
+    index = bm25.build(df, "id", "text", segment_docs=2)
+    index.save(str(tmp_path / "index"))
+    loaded = bm25.Index.load(spark, str(tmp_path / "index"))
+    ask = dict(question_id="q", question="text", id="id", k=8)
+    got = bm25.search(index, asked, block=block, **ask)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, bm25.search(loaded, asked, **ask).collect()))
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
     for q, text in ((0, "the the cat"), (1, "zebra"), (2, "")):
         score = okapi(docs, text)
         want = sorted(range(8), key=lambda i: (score[i], i), reverse=True)
