@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
-from siltstone.plugins import Embedder, Tokenizer, WhitespaceTokenizer
+from siltstone.plugins import Embedder, ImageEmbedder, Tokenizer, WhitespaceTokenizer
 from siltstone.schemas import EMBED_BATCH, INGEST_WINDOW, QUERY_WINDOW, WINDOW_OVERLAP
 from siltstone.session import ship
 
@@ -62,6 +62,29 @@ def embed_column(
     return df.mapInArrow(run, schema)
 
 
+def embed_images(df: DataFrame, content: str, embedder: ImageEmbedder, *, to: str = "embedding", batch: int = 32) -> DataFrame:
+    """``df`` without its ``content``, with a vector for each image; null where the model can't read it."""
+    ship(df.sparkSession)
+    kept = [f for f in df.schema.fields if f.name not in (content, to)]
+    schema = StructType([*kept, StructField(to, ArrayType(FloatType()))])
+
+    def vectors(contents: list[bytes]) -> list[np.ndarray | None]:
+        try:
+            return list(np.asarray(embedder.embed_images(contents), np.float32))
+        except Exception:  # noqa: BLE001 - whatever a model raises: the one image that it is about, alone
+            return [None] if len(contents) == 1 else [v for c in contents for v in vectors([c])]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, batch):
+                part = b.slice(at, batch)
+                v = vectors([c or b"" for c in part.column(part.schema.get_field_index(content)).to_pylist()])
+                columns = [part.column(part.schema.get_field_index(f.name)) for f in kept]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(v, pa.list_(pa.float32()))], [*(f.name for f in kept), to])
+
+    return df.mapInArrow(run, schema)
+
+
 def mean_vector(vector: Column | str) -> Column:
     """Aggregate: element-wise mean in double precision.  Groups are the windows of one text; for large groups see :func:`mean_by_key`."""
     summed = F.aggregate(

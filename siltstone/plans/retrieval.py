@@ -69,13 +69,15 @@ def retrieve(
     both = fusion.fuse(
         ("mmr", chosen.select("query_id", F.col("mmr_rank").alias("rank"), "doc_ix")), ("bm25", words.select("query_id", "rank", "doc_ix")), question_id="query_id"
     )
+    both = materialize(both, "hits")  # of known, small size: the collection's rows are picked by it and not moved
     gathered = both.drop("rank").join(asked.select("query_id", "question"), "query_id").join(corpus.text.select("doc_ix", "document", "metadata"), "doc_ix")
     best = rerank.rerank(gathered, question_id="query_id", question="question", document="document", in_pos="in_pos", keep=keep, model=reranker or OverlapReranker())
     found = best.select("query_id", "question", "rank", "src", "document", "metadata")
     if corpus.images is None or k_images == 0 or corpus.images.isEmpty():
         return found.withColumnRenamed("rank", "number")
     in_images = asked if image_embedder is None else embedding.embed_column(asked.drop("qvec"), "question", image_embedder, to="qvec", tokenizer=tokenizer, as_query=True)
-    pictures = knn.nearest(in_images, corpus.images, question_id="query_id", question_vector="qvec", id="doc_ix", vector="embedding", k=k_images, dim=corpus.dim)
+    in_images_dim = corpus.dim if image_embedder is None else image_embedder.dim
+    pictures = knn.nearest(in_images, corpus.images, question_id="query_id", question_vector="qvec", id="doc_ix", vector="embedding", k=k_images, dim=in_images_dim)
     shown = pictures.join(asked.select("query_id", "question"), "query_id").join(corpus.images.select("doc_ix", "document", "metadata"), "doc_ix")
     every = fusion.fuse(("text", found), ("image", shown.select("query_id", "question", "rank", "document", "metadata")), question_id="query_id")
     return every.select("query_id", "question", F.col("in_pos").alias("number"), "src", "document", "metadata")

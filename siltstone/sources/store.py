@@ -11,9 +11,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siltstone.schemas import STORED
 from siltstone.session import materialize
 
 MARKER = "_READY"
+ARRIVALS = "arrivals"
 
 
 def numbered(df: DataFrame, order: list[str], prefix: str, start: int = 0) -> DataFrame:
@@ -54,10 +56,24 @@ class Store:
     def ready(self) -> bool:
         return self._exists(f"{self.root}/{MARKER}")
 
+    def has(self, name: str) -> bool:
+        return self.ready() and self._exists(f"{self.root}/{name}")
+
+    def arrived(self) -> bool:
+        """Whether files have been stored since, as they arrived."""
+        return self._exists(f"{self.root}/{ARRIVALS}")
+
+    def _made(self, name: str) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.root}/{name}") if self.has(name) else None
+
     def collection(self, name: str) -> DataFrame | None:
-        """The rows of a collection; None where it is absent."""
-        path = f"{self.root}/{name}"
-        return self.spark.read.parquet(path) if self.ready() and self._exists(path) else None
+        """The rows of a collection, with the texts that arrived since; None where it is absent."""
+        rows = self._made(name)
+        if name != "text" or not self.arrived():
+            return rows
+        later = self.spark.read.schema(STORED).parquet(f"{self.root}/{ARRIVALS}")
+        later = later.select(*STORED.fieldNames())
+        return later if rows is None else rows.select(*STORED.fieldNames()).unionByName(later)
 
     def count(self, name: str) -> int:
         rows = self.collection(name)
@@ -69,7 +85,8 @@ class Store:
 
     def create(self, text: DataFrame, images: DataFrame | None) -> bool:
         """Write both collections; False, and nothing done, if there are text vectors already."""
-        if not self.empty("text"):
+        made = self._made("text")
+        if made is not None and not made.isEmpty():
             return False
         aside = f"{self.root}/.writing-{uuid.uuid4().hex}"
         for name, rows in (("text", text), ("images", images)):

@@ -9,14 +9,14 @@ from pyspark.sql.streaming import StreamingQuery
 from siltstone.engine import Engine
 from siltstone.functions.formatting import file_kind
 from siltstone.sources.files import texts
-from siltstone.sources.store import Store
+from siltstone.sources.store import ARRIVALS, Store
 
 
 def stream_texts(engine: Engine, folder: str, store: str, checkpoint: str, *, once: bool = True) -> StreamingQuery:
     """Store the pieces of new text files under ``store``/arrivals, one folder for each micro-batch.
 
     A batch that is run again after a failure overwrites its own folder, so
-    every file is stored once.
+    every file is stored once.  :meth:`Store.collection` reads them with the rest.
     """
     spark: SparkSession = engine.spark
     target = Store(spark, store)
@@ -25,8 +25,9 @@ def stream_texts(engine: Engine, folder: str, store: str, checkpoint: str, *, on
 
     def write(batch: DataFrame, number: int) -> None:
         files = batch.withColumn("kind", file_kind(F.col("path"))).where("kind is not null")
-        rows = engine.text_rows(texts(files)).withColumn("id", F.concat(F.lit(f"b{number}-"), "id"))
-        rows.write.mode("overwrite").parquet(f"{target.root}/arrivals/batch={number}")
+        # numbers of a range of its own, above those of the store and of the batches before
+        rows = engine.text_rows(texts(files), start=(number + 1) << 32)
+        rows.write.mode("overwrite").parquet(f"{target.root}/{ARRIVALS}/batch={number}")
 
     writer = arriving.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

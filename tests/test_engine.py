@@ -1,9 +1,16 @@
+import contextlib
+import http.server
+import json
 import sys
+import threading
+import types
 
 import pytest
 from pyspark import cloudpickle
 
 from siltstone.engine import ANSWER, NOT_READY, Engine
+from siltstone.operators.embedding import embed_images
+from siltstone.plugins import HttpGenerator, PypdfReader
 from siltstone.sources.files import load_folder
 from siltstone.sources.store import Store, latest, numbered
 from siltstone.streaming.ingest import stream_texts
@@ -99,6 +106,12 @@ def test_ingest_connect_ask_chat(spark, folder, tmp_path):
     assert set(answers) == {1, 3}
     assert "Source 1: b.TXT\nValves close pipes." in answers[1]
     assert answers[1].index("<image at") > answers[1].index("Valves close")
+    with_answers = {r["query_id"]: r["answer"] for r in engine.answer(asked).collect()}
+    assert set(with_answers) == {1, 3} and with_answers[1].startswith("Source 1: b.TXT")
+    assert engine.progress["text"]["rows"] == Store(spark, store).count("text") and engine.progress["images"] == {"rows": 2, "embedded": 2}
+    assert Store(spark, store).has("lexical")  # written at ingest, read by connect
+    vectors = [r["embedding"] for r in Store(spark, store).collection("images").collect()]
+    assert len(vectors[0]) == 64 and vectors[0] != vectors[1]
     text = Store(spark, store).collection("text")
     assert sorted(r["id"] for r in text.select("id").collect()) == sorted(f"t{i}" for i in range(text.count()))
     engine.reset()
@@ -121,5 +134,75 @@ def test_streamed_files_are_stored_once(spark, tmp_path):
     (docs / "c.bin").write_bytes(b"x")
     run()
     run()
-    rows = spark.read.parquet(f"{store}/arrivals").collect()
+    rows = Store(spark, store).collection("text").collect()
     assert sorted(r["document"] for r in rows) == ["first words", "second words"]
+    assert len({r["id"] for r in rows}) == 2
+    assert engine.connect(store)[1]  # a store of arrivals only
+    asked = spark.createDataFrame([(1, "second words")], "query_id long, question string")
+    assert "Source 1: b.txt\nsecond words" in engine.ask(asked).first()["prompt"]
+
+
+def test_arrivals_join_what_was_ingested(spark, tmp_path):
+    docs, later, store = tmp_path / "docs", tmp_path / "later", str(tmp_path / "out")
+    docs.mkdir()
+    later.mkdir()
+    (docs / "a.txt").write_text("first words")
+    (later / "b.txt").write_text("late words")
+    engine = Engine(spark)
+    assert engine.ingest(str(docs), store)
+    stream_texts(engine, str(later), store, str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r["document"] for r in Store(spark, store).collection("text").collect()) == ["first words", "late words"]
+    assert engine.connect(store) == (f"{store} is open: 2 text rows, 0 images.", True)
+
+
+class Rgb:
+    """Fails for a whole call if one image can't be read."""
+
+    name, dim = "rgb", 2
+
+    def embed_images(self, contents):
+        if b"bad" in contents:
+            raise ValueError("no image")
+        return [[len(c), 1.0] for c in contents]
+
+
+def test_one_unreadable_image_costs_only_itself(spark):
+    df = spark.createDataFrame([(1, bytearray(b"abc")), (2, bytearray(b"bad")), (3, bytearray(b"x")), (4, None)], "k int, content binary").coalesce(1)
+    got = {r["k"]: r["embedding"] for r in embed_images(df, "content", Rgb()).collect()}
+    assert got == {1: [3.0, 1.0], 2: None, 3: [1.0, 1.0], 4: [0.0, 1.0]}
+
+
+def test_files_without_a_reader_say_so(spark, folder):
+    documents, _ = load_folder(spark, str(folder))
+    by = {r["path"].rsplit("/", 1)[1]: r for r in documents.collect()}
+    assert by["p.pdf"]["content"] == "" and "no reader" in by["p.pdf"]["error"]
+    assert by["i.png"]["content"] == "" and "no reader" in by["i.png"]["error"]
+
+
+def test_pdf_adapter(monkeypatch):
+    page = types.SimpleNamespace(extract_text=lambda: "text", extract_tables=lambda: [[["a"], ["1"]]])
+    empty = types.SimpleNamespace(extract_text=lambda: None, extract_tables=list)
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=lambda f: types.SimpleNamespace(pages=[page, empty])))
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=lambda f: contextlib.nullcontext(types.SimpleNamespace(pages=[page, empty]))))
+    assert PypdfReader().text(b"x") == "text\n"
+    assert list(PypdfReader().tables(b"x")) == [(1, [[["a"], ["1"]]]), (2, [])]
+
+
+def test_http_generator():
+    asked = []
+
+    class Service(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append((self.path, json.loads(self.rfile.read(int(self.headers["Content-Length"])))))
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(json.dumps({"choices": [{"message": {"content": "said"}}]}).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.handle_request, daemon=True).start()
+    assert HttpGenerator(f"http://127.0.0.1:{server.server_port}/v1/", "m").answer("why?") == "said"
+    assert asked == [("/v1/chat/completions", {"model": "m", "temperature": 0.2, "messages": [{"role": "user", "content": "why?"}]})]
+    server.server_close()
