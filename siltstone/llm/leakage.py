@@ -1,15 +1,16 @@
 """Problem 8: documents that repeat passages of held-out items.
 
-Method: a positional inverted index, partitioned by document.  A task gathers
-documents into a segment and stores, for every term of the items, the sorted
-positions of its occurrences.  A run of ``min_words`` words always covers a
+Method: a positional inverted index, partitioned by document and stored.  A
+segment of it holds, for every term of some documents, the sorted positions of
+its occurrences; the items' terms are looked up there.  A run of ``min_words`` words always covers a
 whole aligned block of ``min_words // 2`` words of the item, so each block is a
 phrase query: its terms' position lists, shifted by their offsets, are
 intersected from the rarest term on.  Matches are then extended to both sides.
 A run that is broken at places holds no such block for certain, so for these
 every two terms that may follow each other in an item are looked up among the
 terms that do so in the documents; the steps found are chained.
-No postings are shuffled; the items are asked in blocks of bounded size.
+The documents are read once, however many items are asked, and later items find
+the index as it is.
 """
 
 from __future__ import annotations
@@ -17,15 +18,19 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from siltstone.session import ship
+from siltstone.session import materialize, ship
 
 WORD = re.compile("[a-z0-9]+")
+NOWHERE = np.zeros(0, np.int64)
 
 
 class Items:
@@ -64,24 +69,43 @@ class Items:
         return pair[order], at[order], step[order]
 
 
-class Segment:
-    """The positional index of a number of documents: sorted positions by term."""
+def segment_row(keys: list, words: list[list[str]]) -> tuple:
+    """(keys, starts, length, terms, bounds, positions) of some documents: where each begins, and of each term its sorted positions.
+
+    Documents are one place apart, so that phrases don't reach from one into the
+    next.  All numbers are 32-bit integers.
+    """
+    number: dict[str, int] = {}
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    starts = 1 + np.cumsum(sizes + 1) - (sizes + 1)
+    flat = np.fromiter((number.setdefault(w, len(number)) for w in chain.from_iterable(words)), np.int32, int(sizes.sum()))
+    at = (np.arange(len(flat)) + np.repeat(np.arange(1, len(words) + 1), sizes)).astype(np.int32)
+    order = np.argsort(flat, kind="stable")
+    bounds = np.searchsorted(flat[order], np.arange(len(number)), side="right")
+    return keys, starts.astype(np.int32).tobytes(), int(sizes.sum()) + len(words) + 1, list(number), bounds.astype(np.int32).tobytes(), at[order].tobytes()
 
-    def __init__(self, docs: list[np.ndarray], n_terms: int):
-        gap = np.full(1, -1, np.int32)  # no term: phrases don't reach from one document into the next
-        self.words = np.concatenate([gap, *(x for d in docs for x in (d, gap))])
-        self.starts = np.cumsum([1, *(len(d) + 1 for d in docs)])[:-1]
-        at = np.flatnonzero(self.words >= 0)
-        order = np.argsort(self.words[at], kind="stable")
-        self.positions = at[order]
-        self.bounds = np.searchsorted(self.words[at][order], np.arange(n_terms + 1))
+
+class Segment:
+    """What a stored segment says of the items' terms."""
+
+    def __init__(self, starts: bytes, length: int, terms: list[str], bounds: bytes, positions: bytes, items: Items):
+        self.starts = np.frombuffer(starts, np.int32).astype(np.int64)
+        self.words = np.full(length, -1, np.int32)  # -1: no term of the items
+        ends, flat = np.frombuffer(bounds, np.int32), np.frombuffer(positions, np.int32)
+        self.found: dict[int, np.ndarray] = {}
+        number = items.terms.get
+        for i, t in enumerate(terms):
+            if (k := number(t)) is not None:
+                at = flat[ends[i - 1] if i else 0 : ends[i]].astype(np.int64)
+                self.found[k] = at
+                self.words[at] = k
 
     def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.bounds[term] : self.bounds[term + 1]]
+        return self.found.get(term, NOWHERE)
 
     def phrase(self, terms: tuple[int, ...]) -> np.ndarray:
         """Positions at which the terms stand in a row."""
-        order = sorted(range(len(terms)), key=lambda k: self.bounds[terms[k] + 1] - self.bounds[terms[k]])
+        order = sorted(range(len(terms)), key=lambda k: len(self.postings(terms[k])))
         found = self.postings(terms[order[0]]) - order[0]
         for k in order[1:]:
             if not len(found):
@@ -210,6 +234,89 @@ def runs(segment: Segment, items: Items, min_words: int, near_gap: int) -> Itera
                 yield doc[of], i, "near", length[of], start[of], of_item[of]
 
 
+@dataclass
+class PassageIndex:
+    """Stored segments of documents: (keys, starts, length, terms, bounds, positions)."""
+
+    segments: DataFrame
+    key: str
+
+    def find(
+        self, benchmark: DataFrame, *, item_key: str = "item_id", item_text: str = "text", min_words: int = 12, near_gap: int = 2, block_items: int = 5_000
+    ) -> DataFrame:
+        """Passages of the items; see :func:`leaked_passages`.
+
+        Up to ``block_items`` items are sent to the tasks that read the segments.
+        More are cut into blocks of about that size, and every pair of a block
+        and a segment is a group of one join.
+        """
+        kind, item_kind = self.segments.schema["keys"].dataType.elementType, benchmark.schema[item_key].dataType
+        schema = f"{self.key} {kind.simpleString()}, {item_key} {item_kind.simpleString()}, kind string, words int, doc_word int, item_word int"
+        types = [to_arrow_type(kind), to_arrow_type(item_kind), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        names = [self.key, item_key, "kind", "words", "doc_word", "item_word"]
+        columns = ["keys", "starts", "length", "terms", "bounds", "positions"]
+
+        def match(rows: pa.RecordBatch | pa.Table, items: Items) -> Iterator[pa.RecordBatch]:
+            for at in range(rows.num_rows):
+                keys, *stored = (rows.column(c)[at].as_py() for c in columns)
+                for doc, item, what, n, at_word, of_item in runs(Segment(*stored, items), items, min_words, near_gap):
+                    cells = [[keys[d] for d in doc], [items.ids[item]] * len(doc), [what] * len(doc), n, at_word, of_item]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names)
+
+        asked = benchmark.select(F.col(item_key).alias("item"), F.col(item_text).alias("t")).where("item is not null and t is not null").distinct()
+        head = asked.limit(block_items + 1).collect()
+        if len(head) <= block_items:
+            rows = [(r["item"], r["t"]) for r in head]
+
+            def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                items = Items(rows, min_words)
+                for b in batches:
+                    yield from match(b, items)
+
+            return self.segments.select(*columns).mapInArrow(scan, schema).distinct()
+
+        asked = materialize(asked, "items")
+        blocks, cells = -(-asked.count() // block_items), max(1, self.segments.count())
+
+        def compare(left: pa.Table, right: pa.Table) -> pa.Table:
+            items = Items(list(zip(left.column("item").to_pylist(), left.column("t").to_pylist())), min_words)
+            return pa.Table.from_batches(match(right, items), pa.schema(list(zip(names, types))))
+
+        left = asked.withColumns({"block": F.pmod(F.xxhash64("item"), F.lit(blocks)).cast("int"), "cell": F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))})
+        right = self.segments.withColumns({"cell": F.pmod(F.xxhash64("starts", F.col("keys")[0]), F.lit(cells)).cast("int"), "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+        return left.groupBy("block", "cell").cogroup(right.groupBy("block", "cell")).applyInArrow(compare, schema).distinct()
+
+
+def index_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", segment_words: int = 500_000) -> PassageIndex:
+    """The stored index of all documents with key and text; ``segment_words`` bounds a segment, but for its last document."""
+    ship(docs.sparkSession)
+    kind = docs.schema[key].dataType
+    types = [pa.list_(to_arrow_type(kind)), pa.binary(), pa.int32(), pa.list_(pa.string()), pa.binary(), pa.binary()]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list = []
+        words: list[list[str]] = []
+        size = 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(segment_row(keys, words), types)], ["keys", "starts", "length", "terms", "bounds", "positions"])
+
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                keys.append(k)
+                words.append(WORD.findall(t.lower()))
+                size += len(words[-1])
+                if size >= segment_words:
+                    yield row()
+                    keys, words, size = [], [], 0
+        if keys:
+            yield row()
+
+    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    schema = f"keys array<{kind.simpleString()}>, starts binary, length int, terms array<string>, bounds binary, positions binary"
+    return PassageIndex(materialize(chosen.mapInArrow(cut, schema), "passages"), key)
+
+
 def leaked_passages(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -220,7 +327,7 @@ def leaked_passages(
     item_text: str = "text",
     min_words: int = 12,
     near_gap: int = 2,
-    segment_words: int = 2_000_000,
+    segment_words: int = 500_000,
     block_items: int = 5_000,
 ) -> DataFrame:
     """(key, item_key, kind, words, doc_word, item_word): passages of the items found in the documents.
@@ -232,55 +339,8 @@ def leaked_passages(
     nothing.  Rows with null key or null text are skipped, rows that repeat
     give one match, other columns are ignored, empty tables give no rows.
 
-    ``benchmark`` is asked in blocks of ``block_items`` items, each block sent
-    with the tasks; ``segment_words`` bounds the memory of a task's index.
+    The documents' index is written first, see :func:`index_passages`; to ask
+    several times, keep it and use :meth:`PassageIndex.find`.
     """
-    ship(docs.sparkSession)
-    kind, item_kind = docs.schema[key].dataType, benchmark.schema[item_key].dataType
-    schema = f"{key} {kind.simpleString()}, {item_key} {item_kind.simpleString()}, kind string, words int, doc_word int, item_word int"
-    chosen = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
-
-    def match(items: Items):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            types = [to_arrow_type(kind), to_arrow_type(item_kind), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-            names = [key, item_key, "kind", "words", "doc_word", "item_word"]
-            number = items.terms.get
-            keys: list = []
-            words: list[np.ndarray] = []
-            size = 0
-
-            def flush() -> Iterator[pa.RecordBatch]:
-                for doc, item, what, n, at, of_item in runs(Segment(words, len(items.terms)), items, min_words, near_gap):
-                    cells = [[keys[d] for d in doc], [items.ids[item]] * len(doc), [what] * len(doc), n, at, of_item]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types)], names)
-
-            for b in batches:
-                for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                    found = np.array([number(w, -1) for w in WORD.findall(t.lower())], np.int32)
-                    keys.append(k)
-                    words.append(found)
-                    size += len(found)
-                    if size >= segment_words:
-                        yield from flush()
-                        keys, words, size = [], [], 0
-            if keys:
-                yield from flush()
-
-        return run
-
-    parts: list[DataFrame] = []
-    asked = benchmark.select(F.col(item_key), F.col(item_text)).where(F.col(item_key).isNotNull() & F.col(item_text).isNotNull()).distinct()
-    block: list[tuple] = []
-    for row in asked.toLocalIterator():
-        block.append((row[0], row[1]))
-        if len(block) == block_items:
-            parts.append(chosen.mapInArrow(match(Items(block, min_words)), schema))
-            block = []
-    if block or not parts:
-        parts.append(chosen.mapInArrow(match(Items(block, min_words)), schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out.distinct()
+    index = index_passages(docs, key=key, text=text, segment_words=segment_words)
+    return index.find(benchmark, item_key=item_key, item_text=item_text, min_words=min_words, near_gap=near_gap, block_items=block_items)

@@ -81,9 +81,13 @@ def p8_passages(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
-def p8_found(spark: SparkSession, d: str) -> DataFrame:
+def p8_phrases(spark: SparkSession, d: str) -> DataFrame:
     exact = leakage.leaked_passages(table(spark, d, "documents"), table(spark, d, "benchmark"), near_gap=0)
-    return exact.where("kind = 'phrase'").select("doc_id", "item_id").distinct()
+    return exact.drop("kind")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return p8_phrases(spark, d).select("doc_id", "item_id").distinct()
 
 
 def p9_kinds(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +101,7 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_stats, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_repaired, p7_found, p7_pack, p8_found, p8_passages, p9_found, p9_kinds,
+        p1_found, p1_neighbours, p2_found, p2_groups, p3_found, p3_stats, p4_found, p4_pieces, p5_found, p5_terms, p6_found, p6_repaired, p7_found, p7_pack, p8_found, p8_passages, p8_phrases, p9_found, p9_kinds,
     )
 }
 
@@ -160,6 +164,18 @@ SQL: dict[str, str] = {
     "p5_terms": TERMS_SQL + "select term, occurrences, records, mark from m",
     "p5_found": TERMS_SQL + "select term, mark from m where mark is not null",
     "p7_found": r"select distinct doc_id from documents where len(regexp_extract_all(text, '[^ \t\r\n]+')) > 480",
+    "p8_phrases": """
+        with d as (select distinct doc_id, text from documents where text is not null),
+        i as (select distinct item_id, text from benchmark where text is not null),
+        dw as (select doc_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') as w from d),
+        iw as (select item_id, text, regexp_extract_all(lower(text), '[a-z0-9]+') as w from i),
+        ig as (select item_id, text, array_to_string(w[q : q + 11], ' ') as g, q from (select *, unnest(range(1, len(w) - 10)) as q from iw)),
+        dg as (select doc_id, text, array_to_string(w[p : p + 11], ' ') as g, p from (select *, unnest(range(1, len(w) - 10)) as p from dw)),
+        m as (select doc_id, dg.text as dt, item_id, ig.text as it, p, q, p - row_number() over (partition by doc_id, dg.text, item_id, ig.text, p - q order by p) as island
+              from dg join ig using (g))
+        select distinct doc_id, item_id, (count(*) + 11)::int as words, (min(p) - 1)::int as doc_word, (min(q) - 1)::int as item_word
+        from m group by doc_id, dt, item_id, it, p - q, island
+    """,
     "p8_found": """
         with d as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from documents where text is not null),
         i as (select item_id, regexp_extract_all(lower(text), '[a-z0-9]+') as w from benchmark where text is not null),

@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import shutil
 from collections import Counter
 
 import numpy as np
@@ -95,6 +96,16 @@ def test_near_matches_agree_with_brute_force_however_often_they_are_broken(spark
         assert got == want and len(want) > 80 and want[0, 0] == 12
 
 
+def test_the_index_is_asked_again_without_the_documents(spark, tmp_path):
+    phrase = " ".join(f"c{i}" for i in range(30))
+    documents(spark, [(i, f"x {phrase} y") for i in range(20)]).write.parquet(str(tmp_path / "docs"))
+    index = leakage.index_passages(spark.read.parquet(str(tmp_path / "docs")), segment_words=100)
+    shutil.rmtree(tmp_path / "docs")
+    for block in (1, 5_000):  # cut into blocks, and not
+        found = index.find(items(spark, [(1, phrase), (2, phrase[8:]), (3, "other " * 20)]), near_gap=0, block_items=block)
+        assert found.count() == 40 and "Union" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_no_match_reaches_over_documents_nulls_and_none(spark):
     phrase = " ".join(f"b{i}" for i in range(12))
     half = phrase.split()
