@@ -25,10 +25,7 @@ L2 = "list_sum(list_transform(list_zip(q.e, u.e), lambda p: (p[1] - p[2]) * (p[1
 COSINE = "1 - list_cosine_similarity(q.e, u.e)"
 EMBEDDINGS = "(select vec_id, embedding::double[] as e from embeddings)"
 
-MMR = f"""
-    with recursive u as {EMBEDDINGS},
-    d as (select q.vec_id as query_id, u.vec_id, u.e, list_cosine_similarity(u.e, q.e) as sq, round({L2}, 9) as dist from u as q join u on true where q.vec_id % 20 = 0),
-    c as (select query_id, row_number() over (partition by query_id order by dist, vec_id) as pos, vec_id, e, sq from d qualify pos <= 60),
+MMR_STEPS = """c as (select query_id, row_number() over (partition by query_id order by dist, vec_id) as pos, vec_id, e, sq from d qualify pos <= 60),
     pr as (select a.query_id, a.pos as i, b.pos as j, list_cosine_similarity(a.e, b.e) as s from c a join c b on a.query_id = b.query_id),
     r(query_id, step, sel) as (
         select query_id, 1, [arg_min(pos, (-round(sq, 12), pos))] from c group by query_id
@@ -40,7 +37,12 @@ MMR = f"""
               group by r.query_id, r.step, c.pos) x
         group by x.query_id, x.step),
     f as (select query_id, sel from r where step = 40),
-    t as (select query_id, unnest(sel) as pos, generate_subscripts(sel, 1) as mmr_rank from f)
+    t as (select query_id, unnest(sel) as pos, generate_subscripts(sel, 1) as mmr_rank from f)"""
+
+MMR = f"""
+    with recursive u as {EMBEDDINGS},
+    d as (select q.vec_id as query_id, u.vec_id, u.e, list_cosine_similarity(u.e, q.e) as sq, round({L2}, 9) as dist from u as q join u on true where q.vec_id % 20 = 0),
+    {MMR_STEPS}
     select t.query_id, t.mmr_rank::int as mmr_rank, c.vec_id from t join c on c.query_id = t.query_id and c.pos = t.pos
 """
 
@@ -100,6 +102,41 @@ CONTEXT = f"""
           from best join ts on ts.vec_id = best.doc join asked on asked.q = best.q)
 """
 
+LABELLED = ("source", "image_path", "caption", "table_md", "table_json", "table_row", "chartqa", "ocr")
+
+ASK = f"""
+    with recursive ts as (select vec_id, any_value(document) as document, any_value(metadata) as m, any_value(embedding)::double[] as e from text_store where {USABLE} group by vec_id),
+    im as (select vec_id, any_value(image_path) as image_path, any_value(embedding)::double[] as e from image_store where {USABLE} group by vec_id),
+    items as (select item_id as q, trim(text, ' ') as text from benchmark where trim(coalesce(text, ''), ' ') <> ''),
+    ht as (select q, unnest({TOKENS.format(text="text")}) as t from items),
+    hh as (select q, ('0x' || substr(md5(t), 1, 8))::ubigint as h from ht),
+    hv as (select q, (h % 64)::int as pos, sum(case when (h // 64) % 2 = 0 then 1 else -1 end) as x from hh group by 1, 2),
+    hz as (select q, sqrt(sum(x * x)) as norm from hv group by q),
+    qv as (select hz.q, list((coalesce(x, 0) / norm)::float::double order by g.i) as e from hz cross join range(0, 64) as g(i) left join hv on hv.q = hz.q and hv.pos = g.i group by hz.q),
+    d as (select q.q as query_id, u.vec_id, u.e, list_cosine_similarity(u.e, q.e) as sq, round({L2}, 9) as dist from qv as q join ts as u on true),
+    {MMR_STEPS},
+    {bm25("select vec_id as doc, document as text from ts", "select q, text from items", 10)},
+    lists as (select t.query_id, 0 as l, t.mmr_rank as rank, c.vec_id from t join c on c.query_id = t.query_id and c.pos = t.pos union all select q, 1, rank, doc from best),
+    placed as (select query_id, vec_id, row_number() over (partition by query_id order by l, rank) as in_pos from lists),
+    tokens as (select query_id, in_pos, document, m, list_distinct({TOKENS.format(text="items.text")}) as a, list_distinct({TOKENS.format(text="ts.document")}) as b
+               from placed join items on items.q = placed.query_id join ts on ts.vec_id = placed.vec_id),
+    scored as (select query_id, in_pos, document, m, round(case when len(a) > 0 and len(b) > 0 then len(list_intersect(a, b)) / sqrt(len(a) * len(b)) else 0 end, 9) as score from tokens),
+    texts as (select query_id, row_number() over (partition by query_id order by score desc, in_pos) as rank, document, m from scored qualify rank <= 10),
+    pictures as (select q.q as query_id, row_number() over (partition by q.q order by round({L2}, 9), u.vec_id) as rank, u.image_path from qv as q join im as u on true qualify rank <= 2),
+    every_one as (
+        select query_id, 0 as l, rank, document, {", ".join(f"m.{x} as {x}" for x in LABELLED)} from texts
+        union all
+        select query_id, 1, rank, '', null, image_path, null, null, null, null, null, null from pictures),
+    x as (select every_one.*, row_number() over (partition by query_id order by l, rank) as number, items.text as question from every_one join items on items.q = query_id)
+    select query_id,
+        chr(10) || '🔎 Retrieved context:' || chr(10) || string_agg('  ' || number || '. ' || {label("x.", "number")} || ' — ' ||
+            case when coalesce(x.image_path, '') <> '' then '<image>' else {snippet("document")} end, chr(10) order by number) as listing,
+        'You are a helpful assistant. Use ONLY the sources below.' || chr(10) || chr(10) || 'User question: ' || question || chr(10) || chr(10) ||
+            string_agg({label("x.", "number")} || chr(10) || case when coalesce(x.image_path, '') <> '' then '<image at ' || x.image_path || '>' else coalesce(document, '') end,
+                       chr(10) || chr(10) order by number) || chr(10) || chr(10) || 'Cite facts like (Source 2).' as prompt
+    from x group by query_id, question
+"""
+
 REGION_TABLES = """
     r as (select n_regionkey, n_nationkey, n_nationkey::varchar as k, case when n_nationkey % 3 = 0 then null else n_name end as v from nation)
 """
@@ -166,6 +203,7 @@ SQL: dict[str, str] = {
                        chr(10) || chr(10) order by number) || chr(10) || chr(10) || 'Cite facts like (Source 2).' as prompt
         from x group by query_id, question
     """,
+    "ask_batch": ASK,
     "collection_counts": f"""
         select 'text_store' as collection, count(*) as n_rows, count(distinct vec_id) as n_ids, count(distinct case when {USABLE} then vec_id end) as n_usable from text_store
         union all
