@@ -15,6 +15,7 @@ import math
 import random
 import re
 import textwrap
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -42,7 +43,6 @@ COMMON_WORDS = frozenset(
 )
 
 WORD = re.compile(r"[^\W\d_]+")
-TOKEN = re.compile(r"[^ \t\r\n]+")
 HEADING = re.compile(r"#{1,6}(?: |$)")
 ENDS = re.compile(r"[.!?…:;][\"'»”)]*$")
 MARKER = re.compile(r"(?:[-*+•–—‣▪·]|\(?\w{1,3}[.)]|\d{1,3} -)[ \t]+\S")
@@ -50,33 +50,31 @@ SEPARATORS = re.compile(r"\t| {2,}(?=\S)|\||[»·›•]|\w / \w")
 RUN = re.compile(r"[.…_]{4,}|(?:\. ){4,}")
 
 
-def binned(x: float, edges: tuple[float, ...]) -> int:
-    return sum(x > e for e in edges)
-
-
 def line_statistics(line: str, words: list[str], common: int) -> tuple[int, ...]:
-    """The statistics of a line, each as the number of its bin; they say nothing about what the line is."""
-    tokens = TOKEN.findall(line)
+    """The statistics of a line, each as the number of the bin's edges below it; they say nothing about what the line is."""
+    tokens = line.split() or [line]
+    separators = len(SEPARATORS.findall(line)) if any(x in line for x in ("  ", "|", "\t", "»", "·", "›", "•", " / ")) else 0
+    run = any(x in line for x in ("..", ". . ", "__", "…")) and bool(RUN.search(line))
     solid, letters, digits = sum(map(len, tokens)), sum(map(len, words)), sum(map(line.count, "0123456789"))
     first, last = line[0], line[-1]
     opening = 0 if first.islower() else 1 if first.isalpha() else 2 if first.isdigit() else 3 if first in "|{[" else 4
     closing = 0 if last in ".!?…" else 1 if last in ":;," else 2 if last.isdigit() else 3 if last.isalpha() else 4
     n, colons = max(1, len(words)), line.count(":") + line.count("=")
     return (
-        binned(common / n, (0, 0.1, 0.18, 0.25, 0.35)),
-        binned(len(words), (0, 1, 2, 3, 5, 8, 12)),
-        binned(digits / solid, (0, 0.1, 0.3, 0.6)),
-        binned(1 - (letters + digits) / solid, (0, 0.03, 0.06, 0.12, 0.25, 0.5)),
-        binned(letters / n, (2.5, 4, 5.5, 7, 9)),
-        binned(max(map(len, tokens)), (12, 17, 27)),
-        binned((line.count(",") + line.count(";")) / n, (0, 0.15, 0.35)),
-        binned(colons, (0, 1, 2)),
-        binned(colons / n, (0, 0.12, 0.25)),
-        binned(len(SEPARATORS.findall(line)), (0, 1, 3)),
-        binned(line.count('"') + line.count("{") + line.count("["), (0, 2)),
-        bool(RUN.search(line)) + 2 * bool(MARKER.match(line)),
-        binned(len(line), (18, 40, 70)),
-        binned(len(set(words)) / n, (0.3, 0.6, 0.9)),
+        bisect_left((0, 0.1, 0.18, 0.25, 0.35), common / n),
+        bisect_left((0, 1, 2, 3, 5, 8, 12), len(words)),
+        bisect_left((0, 0.1, 0.3, 0.6), digits / solid),
+        bisect_left((0, 0.03, 0.06, 0.12, 0.25, 0.5), 1 - (letters + digits) / solid),
+        bisect_left((2.5, 4, 5.5, 7, 9), letters / n),
+        bisect_left((12, 17, 27), max(map(len, tokens))),
+        bisect_left((0, 0.15, 0.35), (line.count(",") + line.count(";")) / n),
+        bisect_left((0, 1, 2), colons),
+        bisect_left((0, 0.12, 0.25), colons / n),
+        bisect_left((0, 1, 3), separators),
+        bisect_left((0, 2), line.count('"') + line.count("{") + line.count("[")),
+        run + 2 * bool(MARKER.match(line)),
+        bisect_left((18, 40, 70), len(line)),
+        bisect_left((0.3, 0.6, 0.9), len(set(words)) / n),
         opening,
         closing,
     )

@@ -8,7 +8,8 @@ probabilities of the confusions and of the words and word pairs of the corpus.
 The corpus is all records, each counted once; how likely each confusion is comes
 from its rare words that are explained by frequent ones.  Only words (pairs)
 above a share of all words (pairs) are sent to the tasks: there can be no more
-than one over that share of them, however large the corpus.
+than one over that share of them, however large the corpus.  The rarer words are
+joined to the records whose unknown words may be misreadings of them.
 """
 
 from __future__ import annotations
@@ -17,8 +18,9 @@ import math
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 from statistics import median
 
 import numpy as np
@@ -53,6 +55,8 @@ JOINT = "\x00"
 BREAKS = re.compile("[-‐\u00ad¬](?:[ \\t]*\x00[ \\t]*|[ \\t]+)|\u00ad")
 BEFORE = re.compile(r"[^\W\d_][\w@†|]*$")
 AFTER = re.compile(r"[^\W\d_][\w@†|]*")
+#: A word broken at the end of a line.
+BROKEN = re.compile("([^\\W\\d_][\\w@†|]*)[-‐\u00ad¬][ \\t]*[\\r\\n\\f\\v ]+[ \\t]*([^\\W\\d_][\\w@†|]*)")
 #: A sign or digit between letters.
 INNER = re.compile(r"[^\W\d_][@†|¢€$\d]+[^\W\d_]")
 CODE = re.compile(r"^[A-Z]{2,}-\d+$|^\d[\d.,]*$")
@@ -123,20 +127,31 @@ class Language:
     plain: set[str] = field(default_factory=set)
     hashes: WordHash = field(default_factory=WordHash)
     letters: Counter | None = None
+    extra: dict[str, int] = field(default_factory=dict)  # rarer words, known for the record at hand
+    extra_folds: dict[str, list[str]] = field(default_factory=dict)
+
+    def with_words(self, extra: dict[str, int]) -> Language:
+        """The language, with these rarer words until others are given."""
+        if extra or self.extra:
+            self.extra, self.extra_folds = extra, {}
+            for w in extra:
+                self.extra_folds.setdefault(w.translate(FOLD), []).append(w)
+        return self
 
     def __post_init__(self) -> None:
         for w in self.words:
             self.folds.setdefault(w.translate(FOLD), []).append(w)
 
     def count(self, word: str) -> int:
-        return self.words.get(word, 0)
+        return self.words.get(word) or self.extra.get(word, 0)
 
     def mates(self, word: str) -> list[str]:
         """The known words that fold to the same string as this one."""
-        return [c for c in self.folds.get(word.translate(FOLD), ()) if c != word]
+        fold = word.translate(FOLD)
+        return [c for c in (*self.folds.get(fold, ()), *self.extra_folds.get(fold, ())) if c != word]
 
     def log_likelihood(self, before: str, word: str) -> float:
-        alone = max(self.words.get(word, 0), 0.5) / max(1, self.total)
+        alone = max(self.count(word), 0.5) / max(1, self.total)
         n = self.words.get(before, 0)
         together = self.pairs.get(pair_key(self.hashes[before], self.hashes[word]), 0) / n if n else 0.0
         return math.log(0.5 * alone + 0.5 * together)
@@ -148,21 +163,22 @@ class Language:
         words are filed, so any number of misread characters costs one look-up.
         Words above ``plain_share`` of all are never taken for misread.
         """
-        found = self.cache.get(word)
+        here = bool(self.extra_folds) and word.translate(FOLD) in self.extra_folds
+        found = None if here else self.cache.get(word)
         if found is None:
             found = [(word, 0.0)]
             if (len(word) > 2 or not word.isalpha()) and self.words.get(word, 0) < self.plain_share * self.total + 10:
                 found += [(c, x[0]) for c in self.mates(word) if (x := aligned(word, c, self.logs))]
-                if len(found) == 1 and INNER.search(word):
-                    found += self.respelled(word)
-            if len(self.cache) < 300_000:
+                if not self.count(word) and INNER.search(word):
+                    found += [(c, p) for c, p in self.respelled(word) if c not in dict(found)]
+            if not here and len(self.cache) < 300_000:
                 self.cache[word] = found
                 if len(found) == 1:
                     self.plain.add(word)
         return found
 
     def respelled(self, word: str) -> list[tuple[str, float]]:
-        """For a word of which no reading is known, such as a name: readings of the signs between its letters.
+        """For an unknown word, such as a name: readings of the signs between its letters.
 
         What tells them apart from the word is how its letters follow each other
         in known words.
@@ -184,7 +200,10 @@ class Language:
 
     def clear(self, text: str) -> bool:
         """True if every word of the text can only be itself."""
-        return all(w in self.plain or len(self.candidates(w)) == 1 for w in CORE.findall(text.lower()))
+        words = CORE.findall(text.lower())
+        if self.extra_folds:
+            return all(len(self.candidates(w)) == 1 for w in words)
+        return all(w in self.plain or len(self.candidates(w)) == 1 for w in words)
 
     def decoded(self, words: list[str]) -> list[str]:
         """The most likely printed words of a line (Viterbi)."""
@@ -387,8 +406,14 @@ def corpus_counts(df: DataFrame, key: str, text: str, table_bits: int, flush: in
     return rows.mapInArrow(counter(repeated), schema).unionByName(copies.mapInArrow(counter(None), schema))
 
 
-def corpus_language(df: DataFrame, key: str, text: str, word_share: float, pair_share: float, least: int, noise: float, table_bits: int) -> Language:
-    """The language of all texts; what is sent to the driver is bounded by one over the shares, and by the number of confusions."""
+def corpus_language(
+    df: DataFrame, key: str, text: str, word_share: float, pair_share: float, least: int, noise: float, table_bits: int
+) -> tuple[Language, DataFrame]:
+    """The language of all texts, and (term, n) of the words that are too rare to be sent with it.
+
+    What is sent to the driver is bounded by one over the shares, and by the
+    number of confusions.
+    """
     sums = materialize(corpus_counts(df, key, text, table_bits).groupBy("term", "pair").agg(F.sum("n").alias("n")).where(F.col("n") >= F.when(F.col("pair").isNull(), 1).otherwise(least)), "ngrams")
     totals = dict(sums.where("term in ('', ' ')").select("term", "n").toLocalIterator())
     words, pairs = totals.get("", 0), totals.get(" ", 0)
@@ -411,7 +436,35 @@ def corpus_language(df: DataFrame, key: str, text: str, word_share: float, pair_
     rare = single.where(~frequent).select("term", "n")
     hits = rare.mapInArrow(explained, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toLocalIterator()
     language.logs = confusion_logs({CONFUSIONS[k]: n for k, n in hits}, noise)
-    return language
+    return language, rare.where(F.col("n") >= least)
+
+
+def unknown_words(text: str, language: Language) -> set[str]:
+    """The words of a text that the language doesn't know, those broken in two put together."""
+    low = text.lower()
+    found = {w for w in CORE.findall(low) if not CODE.match(w)}
+    found.update(a + b for a, b in BROKEN.findall(low))
+    return {w for w in found if w not in language.words and (len(w) > 2 or not w.isalpha())}
+
+
+def with_rare_words(df: DataFrame, key: str, text: str, rare: DataFrame, known: Callable[[], Language]) -> DataFrame:
+    """(key, x): the text with the rarer words (term, n) that its unknown words may be, or may be misread for."""
+
+    def folded_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([t.translate(FOLD) for t in b.column(0).to_pylist()], pa.string()), *b.columns], ["fold", "term", "n"])
+
+    def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [{w.translate(FOLD) for w in unknown_words(t, known())} for t in b.column(1).to_pylist()]
+            at = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(list(chain.from_iterable(found)), pa.string())], ["k", "fold"])
+
+    chosen = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("k is not null and t is not null")
+    kind = df.schema[key].dataType.simpleString()
+    asked = chosen.mapInArrow(folds, f"k {kind}, fold string").distinct()
+    words = asked.join(rare.mapInArrow(folded_terms, "fold string, term string, n long"), "fold").groupBy("k").agg(F.collect_list(F.struct("term", "n")).alias("lexicon"))
+    return chosen.join(words, "k", "left").select(F.col("k").alias(key), F.struct("t", "lexicon").alias("x"))
 
 
 def repair_scans(
@@ -437,27 +490,33 @@ def repair_scans(
     once; other columns are ignored; an empty table gives no rows.
 
     ``corpus`` has the records that the language is counted on, with the same
-    columns (default: the records themselves).  Words (pairs) below
-    ``word_share`` (``pair_share``) of all, or seen fewer than ``least_count``
-    times, are unknown to it.  ``noise`` is the share of a character's
+    columns (default: the records themselves).  Words of at least ``word_share`` of
+    all are sent to the tasks, rarer ones reach the records that they matter to by
+    a join; words seen fewer than ``least_count`` times are unknown, and pairs
+    below ``pair_share`` of all count as their words alone.  ``noise`` is the share of a character's
     occurrences that are misread on a noisy page.
     """
-    language = corpus_language(df if corpus is None else corpus, key, text, word_share, pair_share, least_count, noise, table_bits)
+    language, rare = corpus_language(df if corpus is None else corpus, key, text, word_share, pair_share, least_count, noise, table_bits)
     sent = df.sparkSession.sparkContext.broadcast((language.words, language.pairs, language.total, language.logs))
     name = uuid.uuid4().hex
 
-    def rows(keys: list, texts: list) -> Iterator[tuple]:
+    def known() -> Language:
         global _language
         if _language is None or _language[0] != name:
             _language = (name, Language(*sent.value))
+        return _language[1]
+
+    def rows(keys: list, texts: list) -> Iterator[tuple]:
         seen: set = set()
-        for k, t in zip(keys, texts):
-            if k is not None and t is not None and k not in seen:
+        for k, x in zip(keys, texts):
+            if k not in seen:
                 seen.add(k)
-                yield k, *repaired(t, _language[1], least_misread)
+                extra = {w["term"]: w["n"] for w in x["lexicon"] or ()}
+                yield k, *repaired(x["t"], known().with_words(extra), least_misread)
 
     kind = df.schema[key].dataType.simpleString()
-    return map_rows(df, f"{key} {kind}, {text} string, noise array<string>", rows, key, text).dropDuplicates([key])
+    whole = with_rare_words(df, key, text, rare, known)
+    return map_rows(whole, f"{key} {kind}, {text} string, noise array<string>", rows, key, "x").dropDuplicates([key])
 
 
 #: The task's language model, kept for all batches of a worker process.

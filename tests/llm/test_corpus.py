@@ -311,6 +311,20 @@ def test_viterbi_is_right_where_the_best_single_words_are_not():
     assert without.decoded("they cat bread".split()) != "they eat bread".split()
 
 
+def test_rare_words_reach_the_records_that_need_them(spark):
+    rng = random.Random(5)
+    common = "the pump was in the hall and the valve was open when the work was done by the team".split()
+    rows = [(i, " ".join(rng.choices(common, k=40))) for i in range(300)]
+    rows += [(1000 + i, "the gasket and the manometer of the pump") for i in range(60)] + [(2000, "the gaskct was in the hall. The rnanometer was open and the ga5ket and the gas-\nkct was done")]
+    df = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], RECORDS).repartition(3)
+    got = {}
+    for share in (1e-5, 0.01):  # all words with the language; and rare ones by the join
+        fixed = {r["rec_id"]: r for r in scans.repair_scans(df, word_share=share).collect()}
+        got[share] = fixed[2000]["page_content"], sorted(fixed[2000]["noise"])
+        assert len(fixed) == len(rows)
+    assert got[0.01] == got[1e-5] == ("the gasket was in the hall. The manometer was open and the gasket and the gasket was done", ["chars", "hyphen"])
+
+
 def test_signs_in_an_unknown_word():
     known = {w: 5 for w in "garden pustrel marlow pustule foxtail roxane boxes pastor lustre".split()}
     language = scans.Language(known, {}, 10_000, scans.confusion_logs({}, 0.1))
@@ -328,7 +342,8 @@ def test_pair_keys():
 def test_the_language_counts_all_records_once(spark):
     rows = [(i, f"The word{'s' * (i % 3)} of the page.") for i in range(60)]
     df = spark.createDataFrame([*rows, *rows[:20], (None, "lost lost"), (90, None)], "k long, t string").repartition(5)
-    language = scans.corpus_language(df, "k", "t", 0, 0, 1, 0.1, 12)
+    language, rare = scans.corpus_language(df, "k", "t", 0, 0, 1, 0.1, 12)
+    assert rare.count() == 0
     assert language.total == 300 and language.words["the"] == 120 and language.words["word"] == 20 and "lost" not in language.words
     h = language.hashes
     assert language.pairs[scans.pair_key(h["the"], h["page"])] == 60

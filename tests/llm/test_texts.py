@@ -160,6 +160,8 @@ def test_mostly_is_by_characters():
 def test_statistics_of_nothing_and_of_headings():
     assert quality.measured("", MODEL) == (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
     assert quality.measured("# Only a heading", MODEL)[5:] == (1.0, 0.0, 0.0, 0.0)
+    for odd in ("\u00a0", "\u2028\u2028\n\u00a0", "\x0b", "\ud83d\ude00".encode("utf-16", "surrogatepass").decode("utf-16")):
+        assert sum(quality.measured(odd, MODEL)[5:]) == pytest.approx(1.0)
 
 
 def test_text_statistics_table(spark):
