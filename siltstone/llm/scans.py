@@ -113,6 +113,24 @@ def confusion_logs(hits: dict[tuple[str, str], int], noise: float) -> dict[tuple
     return {pair: math.log(noise * (hits.get(pair, 0) + 1) / every[pair[1]]) for pair in CONFUSIONS}
 
 
+class Parts(dict):
+    """The matches of a pattern within a run of non-blank characters, kept for the life of a task up to a bound."""
+
+    def __init__(self, pattern: re.Pattern):
+        super().__init__()
+        self.pattern = pattern
+
+    def __missing__(self, token: str) -> list[str]:
+        found = self.pattern.findall(token)
+        if len(self) < 300_000:
+            self[token] = found
+        return found
+
+    def of(self, text: str) -> list[str]:
+        """All matches in a text; the pattern must match no blanks."""
+        return list(chain.from_iterable(map(self.__getitem__, text.split())))
+
+
 @dataclass
 class Language:
     """Frequent words and word pairs (by hash) of the corpus with their counts, and the confusions' log probabilities."""
@@ -129,13 +147,23 @@ class Language:
     letters: Counter | None = None
     extra: dict[str, int] = field(default_factory=dict)  # rarer words, known for the record at hand
     extra_folds: dict[str, list[str]] = field(default_factory=dict)
+    fold_of: dict[str, str] = field(default_factory=dict)
+    cores: Parts = field(default_factory=lambda: Parts(CORE))
+
+    def fold(self, word: str) -> str:
+        found = self.fold_of.get(word)
+        if found is None:
+            found = word.translate(FOLD)
+            if len(self.fold_of) < 300_000:
+                self.fold_of[word] = found
+        return found
 
     def with_words(self, extra: dict[str, int]) -> Language:
         """The language, with these rarer words until others are given."""
         if extra or self.extra:
             self.extra, self.extra_folds = extra, {}
             for w in extra:
-                self.extra_folds.setdefault(w.translate(FOLD), []).append(w)
+                self.extra_folds.setdefault(self.fold(w), []).append(w)
         return self
 
     def __post_init__(self) -> None:
@@ -147,7 +175,7 @@ class Language:
 
     def mates(self, word: str) -> list[str]:
         """The known words that fold to the same string as this one."""
-        fold = word.translate(FOLD)
+        fold = self.fold(word)
         return [c for c in (*self.folds.get(fold, ()), *self.extra_folds.get(fold, ())) if c != word]
 
     def log_likelihood(self, before: str, word: str) -> float:
@@ -163,7 +191,7 @@ class Language:
         words are filed, so any number of misread characters costs one look-up.
         Words above ``plain_share`` of all are never taken for misread.
         """
-        here = bool(self.extra_folds) and word.translate(FOLD) in self.extra_folds
+        here = bool(self.extra_folds) and self.fold(word) in self.extra_folds
         found = None if here else self.cache.get(word)
         if found is None:
             found = [(word, 0.0)]
@@ -200,9 +228,10 @@ class Language:
 
     def clear(self, text: str) -> bool:
         """True if every word of the text can only be itself."""
-        words = CORE.findall(text.lower())
+        words = self.cores.of(text.lower())
         if self.extra_folds:
-            return all(len(self.candidates(w)) == 1 for w in words)
+            plain, extra, fold = self.plain, self.extra_folds, self.fold
+            return all((w in plain and fold(w) not in extra) or len(self.candidates(w)) == 1 for w in words)
         return all(w in self.plain or len(self.candidates(w)) == 1 for w in words)
 
     def decoded(self, words: list[str]) -> list[str]:
@@ -212,6 +241,10 @@ class Language:
             return words
         scores, back, before = [0.0], [], [("", 0.0)]
         for o in options:
+            if len(o) == len(before) == 1:  # nothing to decide here
+                before = o
+                back.append([0])
+                continue
             ranked = [max((s + self.log_likelihood(b, c) + misread, k) for k, ((b, _), s) in enumerate(zip(before, scores))) for c, misread in o]
             scores, before = [r[0] for r in ranked], o
             back.append([r[1] for r in ranked])
@@ -362,7 +395,7 @@ def corpus_counts(df: DataFrame, key: str, text: str, table_bits: int, flush: in
 
     def counter(skip: RepeatedIds | None):
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes, words = WordHash(), Counter()
+            hashes, words, parts = WordHash(), Counter(), Parts(WORD)
             held: list[np.ndarray] = []
             size = n_words = n_pairs = 0
             last = None
@@ -381,10 +414,11 @@ def corpus_counts(df: DataFrame, key: str, text: str, table_bits: int, flush: in
                     if skip is None and k == last:
                         continue  # a copy of the record before
                     last = k
-                    found = WORD.findall(t.lower())
+                    found = parts.of(t.lower())
                     n_words += len(found)
                     words.update(found)
-                    words.update(x for w in found if "-" in w for x in w.split("-"))
+                    if "-" in t:
+                        words.update(x for w in found if "-" in w for x in w.split("-"))
                     if len(found) > 1:
                         held.append(pair_keys(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
                         n_pairs += len(found) - 1
@@ -442,9 +476,9 @@ def corpus_language(
 def unknown_words(text: str, language: Language) -> set[str]:
     """The words of a text that the language doesn't know, those broken in two put together."""
     low = text.lower()
-    found = {w for w in CORE.findall(low) if not CODE.match(w)}
-    found.update(a + b for a, b in BROKEN.findall(low))
-    return {w for w in found if w not in language.words and (len(w) > 2 or not w.isalpha())}
+    found = {w for w in {*language.cores.of(low)} if w not in language.words and not CODE.match(w)}
+    found.update(w for a, b in BROKEN.findall(low) if (w := a + b) not in language.words)
+    return {w for w in found if len(w) > 2 or not w.isalpha()}
 
 
 def with_rare_words(df: DataFrame, key: str, text: str, rare: DataFrame, known: Callable[[], Language]) -> DataFrame:
@@ -456,7 +490,7 @@ def with_rare_words(df: DataFrame, key: str, text: str, rare: DataFrame, known:
 
     def folds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [{w.translate(FOLD) for w in unknown_words(t, known())} for t in b.column(1).to_pylist()]
+            found = [{known().fold(w) for w in unknown_words(t, known())} for t in b.column(1).to_pylist()]
             at = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(list(chain.from_iterable(found)), pa.string())], ["k", "fold"])
 
