@@ -397,11 +397,24 @@ def corpus_counts(df: DataFrame, key: str, text: str, table_bits: int, flush: in
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, words, parts = WordHash(), Counter(), Parts(WORD)
             held: list[np.ndarray] = []
+            waiting: list[list[str]] = []  # texts whose pairs have not been made yet
             size = n_words = n_pairs = 0
             last = None
 
+            def make() -> None:
+                nonlocal waiting
+                sizes = np.fromiter(map(len, waiting), np.int64, len(waiting))
+                keys = pair_keys(np.fromiter(map(hashes.__getitem__, chain.from_iterable(waiting)), np.uint64, int(sizes.sum())))
+                within = np.ones(len(keys), bool)
+                within[np.cumsum(sizes)[:-1] - 1] = False  # not from one text into the next
+                held.append(keys[within])
+                waiting = []
+
             def pairs() -> pa.RecordBatch:
+                if waiting:
+                    make()
                 keys, n = np.unique(np.concatenate([*held, np.zeros(0, np.int64)]), return_counts=True)
+                held.clear()
                 return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.string()), pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["term", "pair", "n"])
 
             def dump() -> pa.RecordBatch:
@@ -420,12 +433,14 @@ def corpus_counts(df: DataFrame, key: str, text: str, table_bits: int, flush: in
                     if "-" in t:
                         words.update(x for w in found if "-" in w for x in w.split("-"))
                     if len(found) > 1:
-                        held.append(pair_keys(np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))))
+                        waiting.append(found)
                         n_pairs += len(found) - 1
                         size += len(found) - 1
+                        if len(waiting) == 256:
+                            make()
                     if size > flush:
                         yield pairs()
-                        held, size = [], 0
+                        size = 0
                     if len(words) > 200_000:
                         yield dump()
                         words.clear()
