@@ -1,20 +1,26 @@
 """Problem 2: records that share most of their content.
 
-Method: PartEnum signatures.  Texts are sets of word shingles.  Sets of similar
-size share a size band; for a band the feature domain is cut into groups, and
-each group into three partitions.  Two similar sets of the band differ in so few
-features that some group holds at most one of them, so that two of its
-partitions agree: the signatures of a set are all subsets of two of the three,
-for a number of groups.  Sets that share a signature are compared exactly.
-
-A signature of little information (by a sketch of the features' frequencies over
-all records) is shared by many unrelated sets.  A set that has enough other
-signatures doesn't use it.  One that consists of common features to a good part,
-as the edited copies in a large family do, uses it, but the sets of such a
-signature, and of any signature that very many sets share, are linked in a chain
-rather than pair by pair: the chains of a family's many signatures, each in an
-order of its own, make it one group at a cost that grows with its size.  All
-pairs of the family, where they are asked for, are then sought within the group.
+Method: prefix filtering, which is exact, and PartEnum signatures, which spare
+work where very many sets are alike.  Texts are sets of word shingles.
+
+All sets' features have one order, the rarest first (by a sketch of the features'
+frequencies over all records; any order would give the same pairs).  Two similar
+sets share a feature within the beginnings of both, which are as long as the
+features that a similar set may lack.  The sets of a feature are paired; a pair is
+dropped where its sizes, the feature's places in the two sets, or the number of
+bits in which two short tables of the sets differ rule out that it is similar.
+What is left is compared exactly.
+
+Sets of a feature that very many of them begin with, as the edited copies in a
+large family do, are not paired but form a family, and all pairs of a family are
+sought block by block where they are asked for.  Groups don't need them all.
+There the sets of a family are first linked by PartEnum signatures: sets of
+similar size share a size band; for a band the feature domain is cut into groups,
+and each group into three partitions, and the signatures of a set are all subsets
+of two of the three, for a number of groups.  The sets of a signature that very
+many share are linked in a chain, in an order of its own, at a cost that grows
+with the family.  Only sets that the chains leave apart are compared block by
+block with the others of their family, so that the groups are exact as well.
 
 Texts of equal shingle sets form a class that is compared once.
 """
@@ -30,7 +36,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.session import materialize
@@ -78,8 +84,17 @@ def shingle_sets(texts: list[str], width: int, least_words: int, hashes: WordHas
     return out
 
 
+#: Bits of the table by which pairs are ruled out.
+TABLE = 1024
+
+
+def parity_bits(s: np.ndarray) -> bytes:
+    """A bit for each cell of the features' hashes, of whether it holds an odd number: two tables differ in at most as many bits as the sets in features."""
+    return np.packbits(np.bincount((mixed(s, 5) % np.uint64(TABLE)).astype(np.int64), minlength=TABLE) % 2 == 1).tobytes()
+
+
 def classes_of(df: DataFrame, key: str, text: str, width: int, least_words: int, bits: int, chunk: int = 1 << 16) -> DataFrame:
-    """(id, rep, body, text, part, counts): every record with its class, named by the lowest id; one row of a class holds a text.
+    """(id, rep, body, text, bits, part, counts): every record with its class, named by the lowest id; one row of a class holds a text and its bit table.
 
     ``body`` is a hash of the text itself: texts of a class may differ in case,
     punctuation and the like.
@@ -92,8 +107,8 @@ def classes_of(df: DataFrame, key: str, text: str, width: int, least_words: int,
     class counts once in a batch there.
     """
     chunk = min(chunk, 1 << bits)
-    names = ["id", "f1", "f2", "body", "text", "part", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
+    names = ["id", "f1", "f2", "body", "text", "bits", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.binary()]
 
     def fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -109,8 +124,9 @@ def classes_of(df: DataFrame, key: str, text: str, width: int, least_words: int,
                 if s is None:
                     continue
                 f = (int(mixed(s, 1).sum() >> np.uint64(1)), int(mixed(s, 2).sum() >> np.uint64(1)))
-                rows.append((i, *f, xxhash.xxh64_intdigest(t) - (1 << 63), None if f in sent else t, None, None))
-                if f not in sent:
+                new = f not in sent
+                rows.append((i, *f, xxhash.xxh64_intdigest(t) - (1 << 63), *((t, parity_bits(s)) if new else (None, None)), None, None))
+                if new:
                     fresh.append(s)
                     sent.add(f)
             if rows:
@@ -118,32 +134,32 @@ def classes_of(df: DataFrame, key: str, text: str, width: int, least_words: int,
                 cells += np.bincount((mixed(np.concatenate(fresh)) & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits).astype(np.int32)
         for k, part in enumerate(cells.reshape(-1, chunk)):
             if part.any():
-                row = (None, k, 0, None, None, k, zlib.compress(part.tobytes(), 1))
+                row = (None, k, 0, None, None, None, k, zlib.compress(part.tobytes(), 1))
                 yield pa.RecordBatch.from_arrays([pa.array([x], k_) for x, k_ in zip(row, kinds)], names)
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, rep, told, last = None, None, False, None
         for b in batches:
             rows: list[tuple] = []
-            for i, f1, f2, body, t, part, counts in zip(*(c.to_pylist() for c in b.columns)):
+            for i, f1, f2, body, t, bits, part, counts in zip(*(c.to_pylist() for c in b.columns)):
                 if part is not None:
-                    rows.append((None, None, None, None, part, counts))
+                    rows.append((None, None, None, None, None, part, counts))
                     continue
                 if (f1, f2) != current:
                     current, rep, told, last = (f1, f2), i, False, None
                 if i == last and (told or t is None):
                     continue  # delivered again
                 last = i
-                rows.append((i, rep, body, None if told else t, None, None))
+                rows.append((i, rep, body, *((None, None) if told else (t, bits)), None, None))
                 told = told or t is not None
             if rows:
-                out = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), out)], ["id", "rep", "body", "text", "part", "counts"])
+                out = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.int32(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), out)], ["id", "rep", "body", "text", "bits", "part", "counts"])
 
     chosen = df.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
-    printed = chosen.mapInArrow(fingerprints, "id long, f1 long, f2 long, body long, text string, part int, counts binary")
+    printed = chosen.mapInArrow(fingerprints, "id long, f1 long, f2 long, body long, text string, bits binary, part int, counts binary")
     ordered = printed.repartition("f1", "f2").sortWithinPartitions("f1", "f2", "id")
-    return ordered.mapInArrow(name, "id long, rep long, body long, text string, part int, counts binary")
+    return ordered.mapInArrow(name, "id long, rep long, body long, text string, bits binary, part int, counts binary")
 
 
 def feature_sketch(parts: DataFrame, bits: int, chunk: int = 1 << 16) -> np.ndarray:
@@ -292,8 +308,119 @@ def run_pairs(
     return pairs[:, 0], pairs[:, 1]
 
 
+def beginnings(sets: list[np.ndarray], bits_of: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of the set, key of the feature, its place in the set's order) of the rarest features of each set.
+
+    The order is that of the keys: the information by feature hash (``bits_of``),
+    then the hash.  A similar set lacks fewer of a set's features than its
+    beginning has, and so does the set of the other's: the least feature that
+    they share lies in both beginnings.
+    """
+    sizes = np.array([len(s) for s in sets])
+    h = mixed(np.concatenate(sets))
+    rank = np.uint64(255) - bits_of[(h & np.uint64(len(bits_of) - 1)).astype(np.int64)].astype(np.uint64)
+    keys = (rank << np.uint64(56)) | (h >> np.uint64(8))
+    lengths = sizes - np.ceil(threshold * sizes - 1e-9).astype(np.int64) + 1
+    ends = np.cumsum(sizes)
+    chosen = np.concatenate([np.sort(keys[end - size : end])[:k] for end, size, k in zip(ends, sizes, np.minimum(lengths, sizes))])
+    lengths = np.minimum(lengths, sizes)
+    return np.repeat(np.arange(len(sets)), lengths), chosen.view(np.int64), np.arange(len(chosen)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def largest_partner(n: np.ndarray, at: np.ndarray, threshold: float) -> np.ndarray:
+    """The size up to which a set can be similar to one of n features, if the first one that they share has that place in the latter."""
+    return (1 + threshold) / threshold * (n - at) - n + 1e-6
+
+
+def key_pairs(key: np.ndarray, rep: np.ndarray, n: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, features of both) of all pairs of an equal key that stand together, in order of size, unless one is larger than a partner of the other may be."""
+    ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) if len(key) else np.zeros(0, int)
+    after = ends[np.searchsorted(ends, np.arange(len(key)))] - np.arange(len(key))  # rows of the run that follow
+    found = []
+    at, step = np.arange(len(key)), 1
+    while len(at := at[after[at] >= step]):
+        at = at[n[at + step] <= most[at]]  # those that follow are as large or larger
+        x, y = at, at + step
+        x, y = (z[(n[x] <= most[y]) & (rep[x] != rep[y])] for z in (x, y))
+        found.append(np.stack([np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y]), n[x] + n[y]], 1))
+        step += 1
+    pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+    return pairs[:, 0], pairs[:, 1], pairs[:, 2]
+
+
+def sharing_pairs(begun: DataFrame, threshold: float, hot: int) -> DataFrame:
+    """(a, b, n), a < b, of sets that share a key and may be similar, n being the features of both; of a key of more than ``hot`` sets (a, b, null), which join all that may be.
+
+    Rows come sorted by key and size, so a task holds one run of ``hot`` rows at
+    most.  In a longer run a set that no smaller one reaches by its largest
+    possible partner begins a new stretch, as neither it nor a later one has a
+    partner before; each other set is joined to the first one of its stretch.
+    """
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(a: np.ndarray, b: np.ndarray, n: np.ndarray | None) -> pa.RecordBatch:
+            both = pa.nulls(len(a), pa.int64()) if n is None else pa.array(n, pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), both], ["a", "b", "n"])
+
+        held = tuple(np.zeros(0, np.int64) for _ in range(4))
+        burning, reached, first = None, -1.0, 0  # the key of the long run that goes on, the size that it reaches, the first set of its stretch
+        for b in _with_end(batches):
+            if b is not None:
+                held = tuple(np.concatenate([h, c.to_numpy(zero_copy_only=False).astype(np.int64)]) for h, c in zip(held, b.columns))
+            key, rep, n, at = held
+            if not len(key):
+                continue
+            most = largest_partner(n, at, threshold)
+            ends = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+            starts = np.append(0, ends[:-1] + 1)
+            size = ends - starts + 1
+            long = size > hot
+            if burning is not None and key[0] == burning:
+                long[0] = True
+            else:
+                burning = None
+            last = len(size) - 1 if b is not None else len(size)  # the last run may go on
+            run = np.repeat(np.arange(len(size)), size)
+            plain = ~long[run] & (run < last)
+            x, y, both = key_pairs(key[plain], rep[plain], n[plain], most[plain])
+            if len(x):
+                yield rows(x, y, both)
+            for k in np.flatnonzero(long):
+                part = slice(starts[k], ends[k] + 1)
+                if burning is None or key[starts[k]] != burning:
+                    burning, reached, first = key[starts[k]], -1.0, rep[starts[k]]
+                before = np.maximum.accumulate(np.append(reached, most[part]))
+                joined = before[:-1] >= n[part]
+                begins = np.maximum.accumulate(np.where(joined, -1, np.arange(len(joined))))
+                heads = np.where(begins < 0, first, rep[part][np.maximum(begins, 0)])
+                reached, first = before[-1], heads[-1]
+                joined &= heads != rep[part]
+                if joined.any():
+                    yield rows(np.minimum(heads, rep[part])[joined], np.maximum(heads, rep[part])[joined], None)
+            keep = slice(len(key), None) if long[-1] else slice(starts[-1], None)
+            held = tuple(h[keep] for h in held)
+
+    ordered = begun.repartition("key").sortWithinPartitions("key", "n").select("key", "rep", "n", "at")
+    return materialize(ordered.mapInArrow(pairs, "a long, b long, n long"), "pairs")
+
+
+def not_ruled_out(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the pairs (a, b, n) whose bit tables differ no more than similar sets do."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), np.uint64).reshape(-1, TABLE // 64) for k in (3, 4))
+            differ = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            at = pa.array(np.flatnonzero(differ <= (1 - threshold) / (1 + threshold) * b.column(2).to_numpy() + 1e-6))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), b.column(1).take(at)], ["a", "b"])
+
+    bits = reps.select("rep", "bits")
+    joined = pairs.join(bits.withColumnsRenamed({"rep": "a", "bits": "bits_a"}), "a").join(bits.withColumnsRenamed({"rep": "b", "bits": "bits_b"}), "b")
+    return joined.select("a", "b", "n", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
+
+
 def candidate_pairs(signed: DataFrame, threshold: float, hot: int, hot_low: int, reach: int) -> DataFrame:
-    """(a, b), a < b, of sets that share a signature and agree in size; and (a, null) for every set in a chain.
+    """(a, b), a < b, of sets that share a signature and agree in size: not all of them, but enough to link most of a family.
 
     Rows come sorted by signature, so a task holds one run at a time.  Of runs of
     more than ``hot`` rows (``hot_low``, if the signature says little) every row
@@ -301,8 +428,8 @@ def candidate_pairs(signed: DataFrame, threshold: float, hot: int, hot_low: int,
     """
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(a: np.ndarray, b: np.ndarray | None) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.nulls(len(a), pa.int64()) if b is None else pa.array(b, pa.int64())], ["a", "b"])
+        def rows(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         kinds = (np.int64, np.int64, np.int32, bool, np.int64, np.int64)
         held = tuple(np.zeros(0, k) for k in kinds)
@@ -327,7 +454,6 @@ def candidate_pairs(signed: DataFrame, threshold: float, hot: int, hot_low: int,
             if len(x):
                 yield rows(x, y)
             if chain.any():
-                yield rows(np.unique(rep[chain]), None)
                 x, y = run_pairs(sig[chain], rep[chain], n[chain], sketches[chain], threshold, reach)
                 if len(x):
                     yield rows(x, y)
@@ -337,7 +463,7 @@ def candidate_pairs(signed: DataFrame, threshold: float, hot: int, hot_low: int,
             held = tuple(h[keep] for h in held)
 
     ordered = signed.repartition("sig", "salt").sortWithinPartitions("sig", "place").select("sig", "rep", "n", "low", "sketch_a", "sketch_b")
-    return materialize(ordered.mapInArrow(pairs, "a long, b long"), "pairs")
+    return materialize(ordered.mapInArrow(pairs, "a long, b long"), "chains")
 
 
 def _with_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -413,16 +539,23 @@ def block_pairs(left: Block, right: Block, threshold: float, columns: int = 4096
 
 
 def family_links(families: DataFrame, threshold: float, block_sets: int, block_features: int = 1 << 21) -> DataFrame:
-    """(a, b, similarity) of all similar pairs within each family: (family, rep, features).
+    """(a, b, similarity) of all similar pairs within each family, but for those of two joined sets: (family, rep, joined, features).
 
     A family is cut into blocks of about ``block_sets`` sets and ``block_features``
     features at most, and every pair of its blocks is a task's group, so that no
-    group grows with the family.
+    group grows with the family.  Joined sets are in blocks of their own, of
+    which no two are paired.
     """
-    sets, features = F.count("*") / block_sets, F.sum(F.octet_length("features")) / (8 * block_features)
-    cut = families.groupBy("family").agg(F.ceil(F.greatest(sets, features)).alias("blocks"))
-    placed = families.join(cut, "family").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+
+    def blocks(of: Column) -> Column:
+        return F.ceil(F.greatest(F.count_if(of) / block_sets, F.coalesce(F.sum(F.when(of, F.octet_length("features"))), F.lit(0)) / (8 * block_features)))
+
+    cut = families.groupBy("family").agg(blocks(F.col("joined")).alias("closed"), blocks(~F.col("joined")).alias("open")).where("open > 0")
+    number = F.xxhash64("rep")
+    own = F.when(F.col("joined"), F.pmod(number, F.greatest("closed", F.lit(1)))).otherwise(F.col("closed") + F.pmod(number, F.col("open")))
+    placed = families.join(cut, "family").withColumn("own", own)
+    least = F.when(F.col("joined"), F.col("closed")).otherwise(F.lit(0).cast("long"))
+    placed = placed.withColumn("other", F.explode(F.sequence(least, F.col("closed") + F.col("open") - 1)))
     cells = placed.select("family", F.least("own", "other").alias("u"), F.greatest("own", "other").alias("v"), "own", "rep", "features")
 
     def compare(t: pa.Table) -> pa.Table:
@@ -441,31 +574,42 @@ def family_links(families: DataFrame, threshold: float, block_sets: int, block_f
 class NearDuplicates:
     """``members``: (id, rep, body), every record with its class and its text's hash; ``links``: (a, b, similarity) between classes, a < b.
 
-    The links of a large family are those of its chains, which join it; all of
-    them are in :meth:`all_links`.  ``chained``: (a), the classes in chains.
+    Of a large family the links are only those that signatures give; all of
+    them are in :meth:`all_links`.  ``families``: (rep, family) of the classes
+    that links may be missing between; None if there are none.
     """
 
     members: DataFrame
     links: DataFrame
-    chained: DataFrame
+    families: DataFrame | None
     features: Callable[[DataFrame], DataFrame]  # (rep, ...) -> (rep, ..., features)
     threshold: float
     block_sets: int
 
     def all_links(self) -> DataFrame:
         """(a, b, similarity) of every two similar classes."""
-        ends = self.links
-        for x in ("a", "b"):
-            ends = ends.join(self.chained.select(F.col("rep").alias(x)), x, "leftsemi")
-        ends = materialize(ends.select("a", "b"), "chains")
-        if ends.isEmpty():
+        if self.families is None:
             return self.links
-        grouped = materialize(components(ends), "families")
-        sizes = grouped.groupBy("root").agg(F.count("*").alias("size")).where("size > 2")
-        families = self.features(grouped.join(sizes, "root").select(F.col("node").alias("rep"), F.col("root").alias("family")))
-        within = family_links(materialize(families, "features"), self.threshold, self.block_sets)
+        every = self.features(self.families.withColumn("joined", F.lit(False)))
+        within = family_links(materialize(every, "features"), self.threshold, self.block_sets)
         return self.links.unionByName(within).dropDuplicates(["a", "b"])
 
+    def joining_links(self) -> DataFrame:
+        """(a, b) of links that have the components of all of them.
+
+        Of each family the classes of its most frequent component are joined as
+        it is; the others are compared with these and with each other.
+        """
+        if self.families is None:
+            return self.links.select("a", "b")
+        roots = components(self.links.select("a", "b")).withColumnsRenamed({"node": "rep"})
+        placed = materialize(self.families.join(roots, "rep", "left").withColumn("root", F.coalesce("root", "rep")), "families")
+        counted = placed.groupBy("family", "root").count()
+        main = counted.groupBy("family").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+        apart = self.features(placed.join(main, "family").select("rep", "family", (F.col("root") == F.col("main")).alias("joined")))
+        rest = family_links(materialize(apart, "features"), self.threshold, self.block_sets)
+        return self.links.select("a", "b").unionByName(rest.select("a", "b"))
+
     def pairs(self, whole_class: int = 1000) -> DataFrame:
         """(a, b), a < b, of all similar records.
 
@@ -493,7 +637,7 @@ class NearDuplicates:
 
         A group is a connected component of the links, named by its lowest id.
         """
-        roots = components(self.links.select("a", "b"))
+        roots = components(self.joining_links())
         named = self.members.join(roots.withColumnsRenamed({"node": "rep"}), "rep", "left")
         return named.select("id", F.col("rep").alias("class_id"), F.coalesce("root", "rep").alias("group_id"))
 
@@ -573,6 +717,10 @@ def near_duplicates(
     (or ``width``) words, null texts and null ids are left out; rows with the
     same id count once; other columns are ignored; an empty table gives no rows.
 
+    The sets of a feature that more than ``hot`` of them begin with form a family.
+    All its links are sought within it, in blocks of ``block_sets``; what follows
+    decides only how many are known without that.
+
     ``groups`` groups of partitions make three signatures each (in each band),
     more where a signature must hold more than two features of ``feature_bits``
     each.  A signature is informative if it carries log2(number of classes) +
@@ -582,11 +730,9 @@ def near_duplicates(
     may make none, use the others too.  A signature of more than ``hot`` sets
     (``hot_low``, if it isn't informative) makes a chain, in which a set is
     compared with the next ``reach``; chains of about ``salt_rows`` sets are cut.
-    All links of chained sets are sought within their group, in blocks of
-    ``block_sets``.
     """
     named = materialize(classes_of(df, key, text, width, least_words, sketch_bits), "classes")
-    members, reps = named.where("id is not null").select("id", "rep", "body").dropDuplicates(["id", "rep"]), named.where("text is not null").select("rep", "text")
+    members, reps = named.where("id is not null").select("id", "rep", "body").dropDuplicates(["id", "rep"]), named.where("text is not null").select("rep", "text", "bits")
     count = reps.count()
     sketch = feature_sketch(named.where("part is not null"), sketch_bits)
     size = max(count, least_classes)
@@ -597,6 +743,16 @@ def near_duplicates(
     elements = max(2.0, least_bits / feature_bits)
     scheme = Scheme(threshold, base, round(groups * (elements / 2) ** 2), elements)
 
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHash()
+        for b in batches:
+            for at in range(0, b.num_rows, 2000):
+                part = b.slice(at, 2000)
+                sets = shingle_sets(part.column(1).to_pylist(), width, least_words, hashes)
+                doc, key, place = beginnings(sets, sent.value, threshold)
+                n = np.array([len(s) for s in sets], np.int32)[doc]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (key, part.column(0).to_numpy()[doc], n, place.astype(np.int32))], ["key", "rep", "n", "at"])
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHash()
         for b in batches:
@@ -629,8 +785,15 @@ def near_duplicates(
         kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields[:-1])
         return joined.mapInArrow(shingled, f"{kinds}, features binary")
 
-    signed = reps.mapInArrow(sign, "sig long, rep long, n int, low boolean, sketch_a long, sketch_b long, salt int, place int")
-    found = candidate_pairs(signed, threshold, hot, hot_low, reach)
-    links = materialize(verified(found.where("b is not null").distinct(), reps, width, threshold), "links")
-    chained = found.where("b is null").select(F.col("a").alias("rep")).distinct()
-    return NearDuplicates(members, links, chained, features, threshold, block_sets)
+    text = reps.select("rep", "text")
+    found = sharing_pairs(text.mapInArrow(begin, "key long, rep long, n int, at int"), threshold, hot)
+    candidates = not_ruled_out(found.where("n is not null").distinct(), reps, threshold)
+    links = materialize(verified(candidates, reps, width, threshold), "links")
+    joined = found.where("n is null").select("a", "b")
+    if joined.isEmpty():
+        return NearDuplicates(members, links, None, features, threshold, block_sets)
+    families = materialize(components(joined).select(F.col("node").alias("rep"), F.col("root").alias("family")), "families")
+    signed = text.join(families, "rep", "leftsemi").mapInArrow(sign, "sig long, rep long, n int, low boolean, sketch_a long, sketch_b long, salt int, place int")
+    chained = candidate_pairs(signed, threshold, hot, hot_low, reach).distinct().join(links, ["a", "b"], "leftanti")
+    links = materialize(links.unionByName(verified(chained, reps, width, threshold)), "links")
+    return NearDuplicates(members, links, families, features, threshold, block_sets)

@@ -207,3 +207,48 @@ def test_block_pairs():
     for pairs in ([(whole, whole)], [(halves[0], halves[0]), (halves[0], halves[1]), (halves[1], halves[1])]):
         got = [(int(a), int(b)) for x, y in pairs for p in neardup.block_pairs(x, y, 0.6, columns=13) for a, b in zip(p[0], p[1])]
         assert len(got) == len(set(got)) and set(got) == want
+
+
+def partners_in_boilerplate(n=300):
+    """Every two texts share a notice, and are not similar for that; each has one partner, with which it shares a little more."""
+    notice = [f"n{i}" for i in range(100)]
+    rows = []
+    for i in range(n):
+        for side in "xy":
+            rows.append((len(rows), " ".join([*notice, *(f"s{i}z{k}" for k in range(12)), *(f"o{i}{side}{k}" for k in range(26))])))
+    return rows
+
+
+def test_partners_among_many_that_share_as_much_are_found(spark):
+    rows = partners_in_boilerplate()
+    want = {(2 * i, 2 * i + 1) for i in range(300)}
+    assert brute(rows[:40], 3, 0.6, 40) == {p for p in want if p[1] < 40}
+    for some in ({}, {"hot": 1}):
+        found = neardup.near_duplicates(table(spark, rows), width=3, threshold=0.6, least_words=40, **some)
+        assert {tuple(r) for r in found.pairs().collect()} == want
+        assert {r["id"]: r["group_id"] for r in found.groups().collect()} == {i: i - i % 2 for i in range(600)}
+
+
+def test_no_pair_and_no_group_is_lost_to_chance(spark):
+    rows = corpus(7, 150, [1, 2, 3, 6])
+    for width, threshold in ((3, 0.6), (2, 0.45)):
+        want = brute(rows, width, threshold, 40)
+        low: dict[int, int] = {}
+        for a, b in sorted(want, key=lambda p: (p[1], p[0])):
+            low.setdefault(b, low.get(a, a))
+        for some in ({}, {"hot": 2, "hot_low": 2, "groups": 1, "reach": 1}):
+            found = neardup.near_duplicates(table(spark, rows), width=width, threshold=threshold, least_words=40, **some)
+            got = [tuple(r) for r in found.pairs().collect()]
+            assert len(got) == len(set(got)) and set(got) == want
+            groups = {r["id"]: r["group_id"] for r in found.groups().collect()}
+            assert all(groups[a] == groups[b] for a, b in want) and {i for i, g in groups.items() if g != i} == set(low)
+
+
+def test_long_runs_join_only_sets_that_may_be_similar(spark):
+    """(key, rep, size, place): sizes that the places leave too little to share are not joined, nor are those apart in size."""
+    rows = [(1, i, 100, 30) for i in range(20)] + [(2, 100 + i, 100, 10) for i in range(20)] + [(2, 200 + i, 400, 10) for i in range(20)]
+    begun = spark.createDataFrame(rows, "key long, rep long, n int, at int")
+    long, short = ([tuple(r) for r in neardup.sharing_pairs(begun, 0.6, hot).collect()] for hot in (5, 100))
+    assert all(n is None and 0 < a // 100 == b // 100 for a, b, n in long) and {x for a, b, _ in long for x in (a, b)} == {*range(100, 120), *range(200, 220)}
+    want = {(k + i, k + j, n) for k, n in ((100, 200), (200, 800)) for i in range(20) for j in range(i + 1, 20)}
+    assert len(long) == 38 and len(short) == len(want) and set(short) == want
